@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 # Replacements of the project's ASCII form.
 SINGLE_QUOTES = "‘’‚‛"
 DOUBLE_QUOTES = "“”„‟"
-DASHES = "‐‑‒–—−­"
-NO_BREAK_SPACE = " "
+DASHES = "‐‑‒–—−\u00ad"
+NO_BREAK_SPACE = "\u00a0"
 WIDE_REPLACEMENTS = (("…", "..."), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"))
 # End of fixed values.
 
