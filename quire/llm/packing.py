@@ -16,6 +16,7 @@ from collections import defaultdict, deque
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm.tokens import DEFAULT_VOCABULARY, token_spans
 from quire.session import settle
@@ -82,7 +83,7 @@ def pack_sizes(items: DataFrame, keys: list[str], size: str, capacity: int, shar
     windows = tiers(capacity)
     cols = [*keys, size]
     src = items.filter(F.col(size) > 0).select(*cols).withColumn("shard", F.pmod(F.xxhash64(*keys), F.lit(shards)).cast("int"))
-    schema = src.schema.add("container", "int").add("slot", "int").add("tier", "int").add("step_group", "int")
+    schema = T.StructType([*src.schema, *(T.StructField(c, T.IntegerType()) for c in ("container", "slot", "tier", "step_group"))])
     order = [(k, "ascending") for k in keys]
 
     def pack(rows: pa.Table) -> pa.Table:
