@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import pages
+from quire.plans import assets, pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (pages.p2_found, pages.p2_pages, pages.p2_lines, pages.p2_sources, pages.p2_crops)
+    f.__name__: f for f in (pages.p2_found, pages.p2_pages, pages.p2_lines, pages.p2_sources, pages.p2_crops, assets.p5_found, assets.p5_packs)
 }
 SQL: dict[str, str] = {}
