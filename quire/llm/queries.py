@@ -7,12 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import mixing, packing, reading, splits
+from quire.llm import cutting, mixing, packing, reading, splits
 from quire.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+LABEL_LIMIT, LABEL_OVERLAP = 1_500, 150
+
+
+def p1_labels(spark: SparkSession, folder: str) -> DataFrame:
+    labels = cutting.current_labels(table(spark, folder, "labels"))
+    return cutting.split_texts(labels, "id", "text", LABEL_LIMIT, LABEL_OVERLAP)
+
+
+def p1_crops(spark: SparkSession, folder: str) -> DataFrame:
+    return cutting.split_crops(table(spark, folder, "prepare_ocr"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The items that the splitter cut, by table."""
+    labels = p1_labels(spark, folder).filter("n_pieces > 1").select(F.lit("labels").alias("item_table"), F.col("id").alias("item_id"))
+    crops = p1_crops(spark, folder).filter("n_pieces > 1").select(F.lit("prepare_ocr").alias("item_table"), F.col("image").alias("item_id"))
+    return labels.union(crops).distinct()
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return splits.disagreeing(splits.sample_groups(table(spark, folder, "samples")))
 
@@ -57,6 +76,25 @@ def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p4_found, p4_splits, p6_found, p6_packed, p7_found, p7_mix, p7_report, p8_found, p8_levels)
+    f.__name__: f for f in (p1_found, p1_labels, p1_crops, p4_found, p4_splits, p6_found, p6_packed, p7_found, p7_mix, p7_report, p8_found, p8_levels)
+}
+# Blanks as Python's str.strip knows them, and the ASCII form, in SQL.
+_BLANKS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ASCII = "translate(translate(translate(translate(text, '‘’‚‛', repeat(chr(39), 4)), '“”„‟', repeat(chr(34), 4)), '‐‑‒–—−' || chr(173), '-------'), chr(160), ' ')"
+for _wide, _letters in (("…", "..."), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+    _ASCII = f"replace({_ASCII}, '{_wide}', '{_letters}')"
+
+SQL: dict[str, str] = {
+    "p1_found": f"""
+    WITH newest AS (SELECT id, arg_max(struct_pack(t := text, v := coalesce(verified, false)), written_at) AS l FROM labels GROUP BY id),
+    crops AS (SELECT image, box, trim(regexp_replace({_ASCII}, '{_BLANKS}+', ' ', 'g')) AS line FROM prepare_ocr),
+    measured AS (
+      SELECT image, coalesce(length(line) + len(list_filter(range(1, length(line)), lambda i: line[i] = line[i + 1])), 0) AS steps,
+             coalesce(len(box) = 4 AND box[1] < box[3] AND box[2] < box[4] AND box[3] - box[1] > 20 * (box[4] - box[2]), false) AS wide
+      FROM crops)
+    SELECT 'labels' AS item_table, id AS item_id FROM newest
+    WHERE l.v AND length(regexp_replace(l.t, '^{_BLANKS}+|{_BLANKS}+$', '', 'g')) > 1500
+    UNION
+    SELECT 'prepare_ocr', image FROM measured WHERE steps > 40 OR wide
+    """,
 }
-SQL: dict[str, str] = {}
