@@ -36,6 +36,10 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return scans.Repairs(table(spark, folder, "ocr_lines"), table(spark, folder, "lexicon")).found()
 
 
+def p3_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.Repairs(table(spark, folder, "ocr_lines"), table(spark, folder, "lexicon")).paragraphs()
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return splits.disagreeing(splits.sample_groups(table(spark, folder, "samples")))
 
@@ -80,7 +84,7 @@ def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_labels, p1_crops, p3_found, p4_found, p4_splits, p6_found, p6_packed, p7_found, p7_mix, p7_report, p8_found, p8_levels)
+    f.__name__: f for f in (p1_found, p1_labels, p1_crops, p3_found, p3_paragraphs, p4_found, p4_splits, p6_found, p6_packed, p7_found, p7_mix, p7_report, p8_found, p8_levels)
 }
 # Blanks as Python's str.strip knows them, and the ASCII form, in SQL.
 _BLANKS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

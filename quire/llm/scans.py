@@ -22,7 +22,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +45,11 @@ CONFUSION_COST = 0.15
 DELETE_FROM = 5
 #: How many times more often a corpus word must occur than a word taken for its misreading.
 RATIO = 3
+#: An unknown word seen this often is a misreading of an ordinary word only if that is seen
+#: so many times more often; codes and terms are told from misreadings by it.
+OFTEN, OFTEN_RATIO = 5, 10
+#: Share of a word's occurrences that are taken to be misread as one other word.
+MISREAD_SHARE = 0.005
 #: Odds from bigrams at which a known word is taken for another one misread.
 CONTEXT_ODDS = 20.0
 #: A lexicon up to this many rows is broadcast.
@@ -276,7 +281,9 @@ def candidates(words: DataFrame) -> DataFrame:
 def verdicts(words: DataFrame, pairs: DataFrame) -> DataFrame:
     """(word, repair, cost) of the unknown words that are misreadings; several rows where
     several repairs cost the same. A figure's repair is the figure as printed."""
-    unknown = pairs.filter("not fixed and (repair_fixed or repair_n >= greatest(2, %d * n))" % RATIO)
+    # An ordinary word explains an unknown one, unless that is seen too often for a misreading.
+    ordinary = f"repair_fixed and (n < {OFTEN} or repair_n >= {OFTEN_RATIO} * n)"
+    unknown = pairs.filter(f"not fixed and ({ordinary} or repair_n >= greatest(2, {RATIO} * n))")
     least = unknown.groupBy("word").agg(F.min("cost").alias("cost"))
     chosen = unknown.join(least, ["word", "cost"]).select("word", "repair", "repair_n", "cost")
     figures = words.filter("not fixed").withColumn("repair", figure(F.col("word"))).filter("repair is not null")
@@ -316,6 +323,51 @@ def broken_lines(lines: DataFrame, words: DataFrame, misread: DataFrame) -> Data
     return settle(ends.filter(with_mark | without).select("line_id", "next_line", "joined", "mark").distinct(), "broken")
 
 
+def mend(tokens: list[str], fixes: dict[int, str], whole: str | None, led: bool) -> str:
+    """A line's text: repairs in the case of what they replace and with its punctuation,
+    a word broken at the end as a whole, and without the rest of one from the line before."""
+    out = list(tokens)
+    for pos, repair in fixes.items():
+        if not 0 <= pos < len(out):
+            continue
+        lead = re.match(f"^[{_EDGE}]*", out[pos]).group()
+        core = _STRIP.sub("", out[pos])
+        rest = out[pos][len(lead) + len(core) :]
+        if "-" in core and "-" not in repair:
+            pieces = core.split("-")
+            near = min(range(len(pieces)), key=lambda i: weighted_distance(pieces[i].lower(), repair))
+            pieces[near] = like(repair, pieces[near])
+            core = "-".join(pieces)
+        else:
+            core = like(repair, core)
+        out[pos] = lead + core + rest
+    if whole is not None and out:
+        if out[-1].strip(MARKS) == "" and len(out) > 1:
+            out.pop()
+        lead = re.match(f"^[{_EDGE}]*", out[-1]).group()
+        out[-1] = lead + like(whole, out[-1][len(lead) :])
+    if led and out:
+        tail = re.search(f"[{_EDGE}]*$", out[0]).group()
+        out = out[1:]
+        if tail:
+            out.insert(0, tail)
+    return " ".join(out)
+
+
+def like(word: str, model: str) -> str:
+    """`word` in the letter case of `model`."""
+    letters = [c for c in model if c.isalpha()]
+    if len(letters) > 1 and all(c.isupper() for c in letters):
+        return word.upper()
+    return word[:1].upper() + word[1:] if model[:1].isupper() or (model[:1] in "|!1" and word[:1] == "i" and len(word) == 1) else word
+
+
+@F.arrow_udf(T.StringType())
+def _mended(tokens: pa.Array, fixes: pa.Array, whole: pa.Array, led: pa.Array) -> pa.Array:
+    rows = zip(tokens.to_pylist(), fixes.to_pylist(), whole.to_pylist(), led.to_pylist())
+    return pa.array([mend(t or [], {f["key"]: f["value"] for f in fs or []}, w, e) for t, fs, w, e in rows], pa.string())
+
+
 # ---------------------------------------------------------------- misread words
 
 
@@ -336,21 +388,21 @@ def line_words(lines: DataFrame, broken: DataFrame) -> DataFrame:
 
 def context_errors(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """(line_id, pos, repair): known words that stand where another known word, of which
-    they may be a misreading, is far likelier by its neighbours. The odds are the product
-    of the two bigrams' count ratios, the occurrence itself not counted."""
-    twins = settle(pairs.filter("fixed and repair_fixed").select("word", "repair").distinct(), "twins")
+    they may be a misreading, is far likelier by its neighbours. The odds are those of the
+    neighbours given either word, the occurrence itself not counted, times the odds that
+    an occurrence of the one is misread as the other."""
+    twins = settle(pairs.filter("fixed and repair_fixed").groupBy("word", "repair").agg(F.max("n").alias("n"), F.max("repair_n").alias("repair_n")), "twins")
     involved = twins.select("word").union(twins.select("repair")).distinct()
     near = settle(rows.join(involved, "word", "left_semi"), "near")
-    left = near.filter("previous is not null").groupBy("previous", "word").agg(F.count(F.lit(1)).alias("c"))
-    right = near.filter("next is not null").groupBy("next", "word").agg(F.count(F.lit(1)).alias("c"))
     asked = near.join(twins, "word")
-    for side, table in (("previous", left), ("next", right)):
-        for col, out in (("word", f"_{side}_own"), ("repair", f"_{side}_other")):
-            asked = asked.join(table.select(side, F.col("word").alias(col), F.col("c").alias(out)), [side, col], "left")
-    odds = F.lit(1.0)
+    odds = F.lit(MISREAD_SHARE) * (F.col("repair_n") + 1) / F.greatest(F.col("n"), F.lit(1))
     for side in ("previous", "next"):
-        own = F.greatest(F.coalesce(f"_{side}_own", F.lit(1)) - 1, F.lit(0)) + 0.5
-        odds = odds * F.when(F.col(side).isNull(), 1.0).otherwise((F.coalesce(f"_{side}_other", F.lit(0)) + 0.5) / own)
+        seen = near.filter(F.col(side).isNotNull()).groupBy(side, "word").agg(F.count(F.lit(1)).alias("c"))
+        for col, out in (("word", f"_{side}_own"), ("repair", f"_{side}_other")):
+            asked = asked.join(seen.select(side, F.col("word").alias(col), F.col("c").alias(out)), [side, col], "left")
+        own = (F.greatest(F.coalesce(f"_{side}_own", F.lit(1)) - 1, F.lit(0)) + 0.5) / F.greatest(F.col("n"), F.lit(1))
+        other = (F.coalesce(f"_{side}_other", F.lit(0)) + 0.5) / (F.col("repair_n") + 1)
+        odds = odds * F.when(F.col(side).isNull(), 1.0).otherwise(other / own)
     return asked.filter(odds >= CONTEXT_ODDS).select("line_id", "pos", "repair")
 
 
@@ -379,6 +431,32 @@ class Repairs:
         best = F.max_by("repair", F.struct(F.coalesce("_c", F.lit(0)), "repair_n", "repair"))
         return scored.groupBy("line_id", "pos").agg(best.alias("repair"))
 
+    def paragraphs(self) -> DataFrame:
+        """(work, paragraph_no, first_line, n_lines, text): running paragraphs in reading
+        order, across columns and pages, without furniture, broken words joined and
+        misread words repaired. Of several readings of a page the newest counts.
+
+        A paragraph starts at an indented line, at a heading, or behind one. Pages whose
+        id has no number stand for themselves.
+        """
+        newest = self.lines.groupBy("id").agg(F.max("written_at").alias("_t"))
+        fixes = self.errors().groupBy("line_id").agg(F.map_from_entries(F.collect_set(F.struct("pos", "repair"))).alias("fixes"))
+        # Parts of a broken word are mended as one.
+        mended = self.broken.join(self.misread.groupBy(F.col("word").alias("joined")).agg(F.max_by("repair", "repair_n").alias("_whole")), "joined", "left")
+        cut = mended.groupBy("line_id").agg(F.max(F.coalesce("_whole", "joined")).alias("whole"))
+        led = self.broken.filter("next_line is not null").select(F.col("next_line").alias("line_id")).distinct().withColumn("led", F.lit(True))
+        body = self.lines.filter("not furniture").join(newest, "id").filter(F.col("written_at").eqNullSafe(F.col("_t")))
+        body = body.dropDuplicates(["id", "line_id"]).withColumn("work", F.when(F.col("page_no").isNull(), F.col("id")).otherwise(F.col("work"))).na.fill({"page_no": 0})
+        body = body.join(fixes, "line_id", "left").join(cut, "line_id", "left").join(led, "line_id", "left")
+        text = _mended("tokens", F.map_entries(F.coalesce("fixes", F.create_map().cast("map<int,string>"))), "whole", F.coalesce("led", F.lit(False)))
+        body = body.select("work", "page_no", "seq", "line_id", text.alias("text"), F.col("starts").cast("bigint").alias("_start"), (F.col("page_no") / 64).cast("int").alias("_bin"))
+        numbered = running_total(body, "_start", "_bin", ["page_no", "seq", "line_id"], "paragraph_no", ["work"])
+        rows = F.array_sort(F.collect_list(F.struct("page_no", "seq", "line_id", "text")))
+        whole = numbered.groupBy("work", "paragraph_no").agg(rows.alias("r"))
+        parts = F.filter(F.transform("r", lambda x: x["text"]), lambda t: t != "")
+        joined = F.regexp_replace(F.array_join(parts, " "), r" (?=[.,;:?!](?: |$))|(?<=[a-z]-) (?=[a-z])", "")
+        return whole.select("work", "paragraph_no", F.get("r", F.lit(0))["line_id"].alias("first_line"), F.size("r").alias("n_lines"), joined.alias("text"))
+
     def found(self) -> DataFrame:
         """(line_id, kind) as the project asks for it."""
         furniture = self.lines.filter("furniture").select("line_id", F.lit("furniture").alias("kind"))
