@@ -1,0 +1,139 @@
+"""Decoding and scoring of character evidence (connectionist temporal classification)."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# ---------------------------------------------------------------- long form: (line, t, class_id, p)
+
+
+def restrict(frames: DataFrame, line: str, allowed: DataFrame, blank: int = 0, tolerance: float = 2e-4) -> tuple[DataFrame, DataFrame]:
+    """Keep the blank and the allowed classes (class_id) of frames (line, t, class_id, p),
+    without scaling; also (line, t, excluded_mass, kept_mass). A frame whose mass isn't 1
+    within the tolerance has a null excluded mass: the caller's rule decides."""
+    flagged = frames.join(allowed.select("class_id").distinct().withColumn("_keep", F.lit(True)), "class_id", "left")
+    keep = F.coalesce(F.col("_keep"), F.lit(False)) | (F.col("class_id") == blank)
+    mass = flagged.groupBy(line, "t").agg(F.sum(F.when(~keep, F.col("p")).otherwise(0.0)).alias("_out"), F.sum("p").alias("_all"), F.sum(F.when(keep, F.col("p")).otherwise(0.0)).alias("kept_mass"))
+    mass = mass.select(line, "t", F.when(F.abs(F.col("_all") - 1) <= tolerance, F.col("_out")).alias("excluded_mass"), "kept_mass")
+    return flagged.filter(keep).select(line, "t", "class_id", "p"), mass
+
+
+def greedy(frames: DataFrame, line: str, blank: int = 0, guard: bool = True) -> DataFrame:
+    """(line, classes): the likeliest class of each frame (ties to the lowest), repeats
+    collapsed, blanks dropped. With `guard` a line with a frame without any mass reads as
+    nothing."""
+    best = frames.groupBy(line, "t").agg(F.max_by("class_id", F.struct("p", (-F.col("class_id")).alias("_low"))).alias("k"), F.max("p").alias("_top"))
+    before = F.lag("k").over(Window.partitionBy(line).orderBy("t"))
+    fresh = best.withColumn("_new", (F.col("k") != blank) & (before.isNull() | (before != F.col("k"))))
+    kept = F.array_sort(F.collect_list(F.when(F.col("_new"), F.struct("t", "k"))))
+    out = fresh.groupBy(line).agg(F.transform(kept, lambda x: x["k"]).alias("classes"), F.bool_or(F.col("_top") <= 0).alias("_void"))
+    return out.select(line, F.when(F.col("_void") & F.lit(guard), F.array().cast("array<bigint>")).otherwise(F.col("classes").cast("array<bigint>")).alias("classes"))
+
+
+# ---------------------------------------------------------------- a line at a time
+
+
+def _log(probs: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(np.asarray(probs, dtype=np.float64))
+
+
+def forward_scores(probs: np.ndarray, alphabet: list[str], texts: list[str], blank: int = 0) -> list[float]:
+    """Log probability of each text over all its alignments; -inf where there is none.
+    Texts with characters outside the alphabet, or longer (repeats counted twice) than
+    there are frames, have none. Log domain throughout, nothing smoothed."""
+    logs = _log(probs)
+    frames = len(logs)
+    ids = {c: i for i, c in enumerate(alphabet) if i != blank}
+    out = []
+    for text in texts:
+        if any(c not in ids for c in text) or len(text) + sum(a == b for a, b in zip(text, text[1:])) > frames:
+            out.append(-math.inf)
+            continue
+        if not frames:
+            out.append(0.0)
+            continue
+        states = np.full(2 * len(text) + 1, blank)
+        states[1::2] = [ids[c] for c in text]
+        jump = np.zeros(len(states), dtype=bool)
+        jump[2:] = (states[2:] != blank) & (states[2:] != states[:-2])
+        alpha = np.full(len(states), -np.inf)
+        alpha[:2] = logs[0, states[:2]]
+        for t in range(1, frames):
+            step = alpha.copy()
+            step[1:] = np.logaddexp(step[1:], alpha[:-1])
+            step[2:] = np.where(jump[2:], np.logaddexp(step[2:], alpha[:-2]), step[2:])
+            alpha = step + logs[t, states]
+        out.append(float(np.logaddexp.reduce(alpha[-2:])))
+    return out
+
+
+def beam_search(probs: np.ndarray, alphabet: list[str], blank: int = 0, width: int = 8, top: int = 4, per_frame: int = 12) -> list[tuple[str, float]]:
+    """The likeliest prefixes as (text, log probability), best first, equal ones by text.
+    A prefix carries the mass of its paths that end in a blank and of those that don't.
+    Each frame considers its `per_frame` likeliest classes (ties to the lower) and the blank."""
+    logs = _log(probs)
+    beams: dict[tuple[int, ...], tuple[float, float]] = {(): (0.0, -math.inf)}
+    add = np.logaddexp
+    for row in logs:
+        picks = sorted(range(len(row)), key=lambda k: (-row[k], k))[:per_frame]
+        classes = [k for k in picks if k != blank and row[k] > -math.inf]
+        grown: dict[tuple[int, ...], list[float]] = {}
+
+        def give(prefix: tuple[int, ...], slot: int, mass: float) -> None:
+            if mass > -math.inf:
+                cell = grown.setdefault(prefix, [-math.inf, -math.inf])
+                cell[slot] = float(add(cell[slot], mass))
+
+        for prefix, (gap, letter) in beams.items():
+            give(prefix, 0, float(add(gap, letter)) + row[blank])
+            for k in classes:
+                if prefix and prefix[-1] == k:
+                    give(prefix, 1, letter + row[k])
+                    give((*prefix, k), 1, gap + row[k])
+                else:
+                    give((*prefix, k), 1, float(add(gap, letter)) + row[k])
+        ranked = sorted(grown.items(), key=lambda x: (-float(add(*x[1])), x[0]))[:width]
+        beams = {p: (m[0], m[1]) for p, m in ranked}
+    done = [("".join(alphabet[k] for k in p), float(add(*m))) for p, m in beams.items()]
+    return sorted([d for d in done if d[1] > -math.inf], key=lambda d: (-d[1], d[0]))[:top]
+
+
+def score_texts(probs: Column, alphabet: list[str], texts: Column, blank: int = 0) -> Column:
+    """Array of log probabilities for an array of texts; null for -inf, as JSON needs it."""
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def score(ps: pa.Array, ts: pa.Array) -> pa.Array:
+        out = []
+        for p, t in zip(ps.to_pylist(), ts.to_pylist()):
+            values = forward_scores(np.asarray(p or [], dtype=np.float64).reshape(len(p or []), -1), alphabet, t or [], blank)
+            out.append([v if v > -math.inf else None for v in values])
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return score(probs, texts)
+
+
+def beams(probs: Column, alphabet: list[str], blank: int = 0, width: int = 8, top: int = 4, per_frame: int = 12) -> Column:
+    """Array of struct(text, log_p): see beam_search."""
+    kind = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("log_p", T.DoubleType())]))
+
+    @F.arrow_udf(kind)
+    def search(ps: pa.Array) -> pa.Array:
+        out = [[{"text": t, "log_p": s} for t, s in beam_search(np.asarray(p or [], dtype=np.float64).reshape(len(p or []), -1), alphabet, blank, width, top, per_frame)] for p in ps.to_pylist()]
+        return pa.array(out, pa.list_(pa.struct([("text", pa.string()), ("log_p", pa.float64())])))
+
+    return search(probs)
+
+
+def reader_metadata(lines: DataFrame, height: int = 48, stride: int = 8) -> DataFrame:
+    """(line_id, content_width, time_steps_expected, compressed, missing): scalar facts about
+    a crop (w, h, time_steps, canvas, text, alphabet) as the recognizer sees it."""
+    width = F.ceil(F.lit(height) * F.col("w") / F.col("h"))
+    missing = F.array_sort(F.array_distinct(F.filter(F.split("text", ""), lambda c: (c != "") & ~F.contains(F.col("alphabet"), c))))
+    return lines.select("line_id", F.least(width, F.col("canvas")).alias("content_width"), F.ceil(F.col("canvas") / stride).alias("time_steps_expected"), (width > F.col("canvas")).alias("compressed"), missing.alias("missing"))

@@ -1,4 +1,4 @@
-"""Queries of the core, and the SQL that gives the same rows."""
+"""All queries of the core, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import assets, pages
+from quire.plans import assets, decoding, layouts, pages, records, words
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,3 +14,6 @@ QUERIES: dict[str, Query] = {
     f.__name__: f for f in (pages.p2_found, pages.p2_pages, pages.p2_lines, pages.p2_sources, pages.p2_crops, assets.p5_found, assets.p5_packs)
 }
 SQL: dict[str, str] = {}
+for module in (records, words, decoding, layouts):
+    QUERIES |= {f.__name__: f for f in module.ALL}
+    SQL |= module.SQL
