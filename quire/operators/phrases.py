@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quire.functions import text as tx
 from quire.functions.text import ascii_form, ctc_steps, printable_ascii
 
 TARGET_LENGTH, CAPACITY = 32, 40
 
+_WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
+_ASCII_TABLE = {**dict.fromkeys(map(ord, tx.SINGLE_QUOTES), "'"), **dict.fromkeys(map(ord, tx.DOUBLE_QUOTES), '"'), **dict.fromkeys(map(ord, tx.DASHES), "-"), ord(tx.NO_BREAK_SPACE): " ", **{ord(k): v for k, v in tx.WIDE_REPLACEMENTS}}
+
 # Marks of lines that aren't text of the page.
 WATERMARKS = ("watermark", "sample copy")
 # End of fixed values.
@@ -46,31 +54,42 @@ def words_of(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return lines.select(*keys, "line_no", F.posexplode(found).alias("word_no", "word"))
 
 
-def pack(line_words: Column) -> Column:
-    """Phrases of a line's words, array<struct<word, keep>> in order: a word joins the
-    phrase before it unless the phrase would exceed TARGET_LENGTH characters or CAPACITY
-    steps; a word that isn't kept ends the phrase and is never bridged. One word alone may
-    exceed the target length. The fold stays inside code generation."""
-
-    def fits(joined: Column) -> Column:
-        return (F.length(joined) <= TARGET_LENGTH) & (ctc_steps(joined) <= CAPACITY)
-
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
-
-    def closed(a: Column) -> Column:
-        return F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"])))
+def steps_of(text: str) -> int:
+    return len(text) + sum(map(str.__eq__, text, text[1:]))
+
+
+def pack(words: list[str]) -> list[str]:
+    """Phrases of a line's words in order: a word joins the phrase before it unless the
+    phrase would exceed TARGET_LENGTH characters or CAPACITY steps; a word that can't be
+    trained on ends the phrase and is never bridged. One word alone may exceed the target
+    length. Words are taken in ASCII form."""
+    out: list[str] = []
+    held = ""
+    for word in words:
+        plain = word if word.isascii() else word.translate(_ASCII_TABLE)
+        if not (plain.isascii() and plain.isprintable()) or steps_of(plain) > CAPACITY:
+            if held:
+                out.append(held)
+            held = ""
+            continue
+        longer = f"{held} {plain}" if held else plain
+        if held and (len(longer) > TARGET_LENGTH or steps_of(longer) > CAPACITY):
+            out.append(held)
+            longer = plain
+        held = longer
+    if held:
+        out.append(held)
+    return out
 
-    def step(a: Column, w: Column) -> Column:
-        longer = F.concat_ws(" ", a["open"], w["word"])
-        grow = w["keep"] & (a["open"].isNull() | fits(longer))
-        return F.struct(F.when(grow, a["done"]).otherwise(closed(a)).alias("done"), F.when(grow, longer).when(w["keep"], w["word"]).alias("open"))
 
-    return F.aggregate(line_words, empty, step, closed)
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _packed(lines: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else pack(_WORD.findall(x)) for x in lines.to_pylist()], pa.list_(pa.string()))
 
 
 def phrases(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, line_no, phrase_no, phrase) for the lines of a text column."""
+    """(keys, line_no, phrase_no, phrase) for the lines of a text column. Packing depends on
+    the word before, and a fold over growing arrays costs the square of a line's length,
+    so a line is packed in one pass in an Arrow batch."""
     lines = df.select(*keys, F.posexplode(F.split(text, "\n")).alias("line_no", "_line"))
-    found = F.regexp_extract_all("_line", F.lit(r"(\S+)"), 1)
-    marked = F.transform(found, lambda w: F.struct(ascii_form(w).alias("word"), exclusion(w).isNull().alias("keep")))
-    return lines.select(*keys, "line_no", F.posexplode(pack(marked)).alias("phrase_no", "phrase"))
+    return lines.select(*keys, "line_no", F.posexplode(_packed("_line")).alias("phrase_no", "phrase"))

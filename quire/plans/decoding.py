@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import candidates, ctc
 from quire.plans.records import _lines
-from quire.sources.tables import table
+from quire.sources.tables import spread, table
 
 LETTERS = ["", *map(chr, range(97, 123))]
 
@@ -47,7 +47,7 @@ def _evidence(word: Column) -> Column:
 
 
 def _words(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lexicon").filter(F.col("word").rlike(r"\A[a-z]+\z")).select("word", _evidence(F.col("word")).alias("probs"))
+    return spread(table(spark, folder, "lexicon")).filter(F.col("word").rlike(r"\A[a-z]+\z")).select("word", _evidence(F.col("word")).alias("probs"))
 
 
 def ctc_forward(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,7 +72,7 @@ def _sources(spark: SparkSession, folder: str) -> DataFrame:
 def candidate_plan(spark: SparkSession, folder: str) -> DataFrame:
     """Spans and candidates of all lines with a reading, one row a candidate."""
     counts = {r["word"]: r["n_seen"] for r in table(spark, folder, "lexicon").limit(200_001).collect()}
-    planned = _sources(spark, folder).select("line_id", candidates.plans(F.col("sources"), counts).alias("p"))
+    planned = spread(_sources(spark, folder)).select("line_id", candidates.plans(F.col("sources"), counts).alias("p"))
     spans = planned.select("line_id", "p.base_source", F.explode("p.spans").alias("s"))
     rows = spans.select("line_id", "base_source", F.col("s.id").alias("span_id"), F.col("s.original").alias("original"), F.explode("s.candidates").alias("c"))
     return rows.select("line_id", "base_source", "span_id", "original", F.col("c.id").alias("candidate_id"), F.col("c.text").alias("text"), F.col("c.origin").alias("origin"), F.round("c.edit_cost", 4).alias("edit_cost"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import geometry, layout
 from quire.plans.records import _LINES, _lines
-from quire.sources.tables import table
+from quire.sources.tables import spread, table
 
 
 def _boxes(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,9 +52,11 @@ def reading_order(spark: SparkSession, folder: str) -> DataFrame:
 
 def region_tiling(spark: SparkSession, folder: str) -> DataFrame:
     """Regions of texts, one row of a page a character, ink where it isn't blank."""
-    d = table(spark, folder, "documents").select("doc_id", F.split("text", "").alias("c"))
-    ink = F.transform("c", lambda x: F.when(F.trim(x) == "", 0.0).otherwise(1.0))
-    rows = d.select("doc_id", F.posexplode(geometry.tiles(F.size("c"), ink)).alias("region", "t"))
+    from pyspark.sql import types as T
+
+    kind = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "end", "crop_start", "crop_end")]))
+    cut = geometry.by_page(lambda text: [dict(zip(("start", "end", "crop_start", "crop_end"), t)) for t in geometry.tile(len(text), [0.0 if c.isspace() else 1.0 for c in text])] if text else [], kind)
+    rows = spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(cut(F.col("text"))).alias("region", "t"))
     return rows.select("doc_id", "region", "t.*")
 
 

@@ -9,19 +9,19 @@ from quire.functions import names
 from quire.functions import text as tx
 from quire.operators import phrases, spelling
 from quire.plans.records import _LINES, _lines
-from quire.sources.tables import table
+from quire.sources.tables import spread, table
 
 
 def phrase_audit(spark: SparkSession, folder: str) -> DataFrame:
     """How many words of all texts fall to each reason, and how many are kept as they are
     or in ASCII form."""
-    w = phrases.words_of(table(spark, folder, "documents"), ["doc_id"], "text")
+    w = phrases.words_of(spread(table(spark, folder, "documents").select("doc_id", "text")), ["doc_id"], "text")
     reason = F.coalesce(phrases.exclusion(F.col("word")), F.when(tx.ascii_form(F.col("word")) != F.col("word"), "normalized_punctuation_or_ligature").otherwise("kept"))
     return w.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("words"))
 
 
 def phrase_pack(spark: SparkSession, folder: str) -> DataFrame:
-    out = phrases.phrases(table(spark, folder, "documents"), ["doc_id"], "text")
+    out = phrases.phrases(spread(table(spark, folder, "documents").select("doc_id", "text")), ["doc_id"], "text")
     return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("phrases"), F.max(F.length("phrase")).alias("longest"), F.sum(tx.ctc_steps(F.col("phrase"))).alias("steps"))
 
 
@@ -35,7 +35,7 @@ def word_steps(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def review_flags(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents")
+    d = spread(table(spark, folder, "documents").select("doc_id", "text"))
     return d.select("doc_id", F.array_join(names.review_flags(F.col("text")), ",").alias("flags"))
 
 
@@ -51,7 +51,7 @@ def page_number(spark: SparkSession, folder: str) -> DataFrame:
 
 def repeat_tail(spark: SparkSession, folder: str) -> DataFrame:
     """Texts whose last words run in a cycle, among all texts and four-fold ones."""
-    d = table(spark, folder, "documents").select("doc_id", F.filter(F.split("text", r"[ \n]+"), lambda w: w != "").alias("w"))
+    d = spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", F.filter(F.split("text", r"[ \n]+"), lambda w: w != "").alias("w"))
     looped = d.filter(F.size("w").between(12, 100)).select("doc_id", F.flatten(F.array_repeat("w", 4)).alias("w"), F.lit(True).alias("repeated"))
     both = d.select("doc_id", "w", F.lit(False).alias("repeated")).union(looped)
     return both.filter(names.repeat_tail(F.col("w"))).select("doc_id", "repeated")
