@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import cutting, mixing, packing, reading, scans, splits
-from quire.sources.tables import table
+from quire.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,16 +49,16 @@ def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    packed = packing.pack_documents(table(spark, folder, "documents"))
+    packed = packing.pack_documents(spread(table(spark, folder, "documents").select("doc_id", "text")))
     return packed.filter("n_pieces > 1").select("doc_id").distinct()
 
 
 def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack_documents(table(spark, folder, "documents"))
+    return packing.pack_documents(spread(table(spark, folder, "documents").select("doc_id", "text")))
 
 
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    sized = mixing.sized_documents(table(spark, folder, "documents"))
+    sized = mixing.sized_documents(spread(table(spark, folder, "documents").select("doc_id", "source", "text")))
     targets = table(spark, folder, "mix_targets")
     return mixing.mix(sized, targets), sized, targets
 
@@ -76,11 +76,11 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return reading.university(table(spark, folder, "documents")).distinct()
+    return reading.university(spread(table(spark, folder, "documents").select("doc_id", "text"))).distinct()
 
 
 def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
-    return reading.profile(table(spark, folder, "documents"))
+    return reading.profile(spread(table(spark, folder, "documents").select("doc_id", "text")))
 
 
 QUERIES: dict[str, Query] = {
