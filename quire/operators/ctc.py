@@ -39,6 +39,10 @@ def greedy(frames: DataFrame, line: str, blank: int = 0, guard: bool = True) ->
 # ---------------------------------------------------------------- a line at a time
 
 
+def _matrix(rows: list[list[float]] | None, width: int) -> np.ndarray:
+    return np.asarray(rows, dtype=np.float64).reshape(len(rows), width) if rows else np.zeros((0, width))
+
+
 def _log(probs: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore"):
         return np.log(np.asarray(probs, dtype=np.float64))
@@ -112,7 +116,7 @@ def score_texts(probs: Column, alphabet: list[str], texts: Column, blank: int =
     def score(ps: pa.Array, ts: pa.Array) -> pa.Array:
         out = []
         for p, t in zip(ps.to_pylist(), ts.to_pylist()):
-            values = forward_scores(np.asarray(p or [], dtype=np.float64).reshape(len(p or []), -1), alphabet, t or [], blank)
+            values = forward_scores(_matrix(p, len(alphabet)), alphabet, t or [], blank)
             out.append([v if v > -math.inf else None for v in values])
         return pa.array(out, pa.list_(pa.float64()))
 
@@ -125,7 +129,7 @@ def beams(probs: Column, alphabet: list[str], blank: int = 0, width: int = 8, to
 
     @F.arrow_udf(kind)
     def search(ps: pa.Array) -> pa.Array:
-        out = [[{"text": t, "log_p": s} for t, s in beam_search(np.asarray(p or [], dtype=np.float64).reshape(len(p or []), -1), alphabet, blank, width, top, per_frame)] for p in ps.to_pylist()]
+        out = [[{"text": t, "log_p": s} for t, s in beam_search(_matrix(p, len(alphabet)), alphabet, blank, width, top, per_frame)] for p in ps.to_pylist()]
         return pa.array(out, pa.list_(pa.struct([("text", pa.string()), ("log_p", pa.float64())])))
 
     return search(probs)

@@ -38,7 +38,8 @@ def crop_box(box: Column, width: Column, height: Column, padding: int = 1) -> Co
     b = [F.get(box, F.lit(i)) for i in range(4)]
     x0, y0 = F.greatest(F.floor(b[0]) - padding, F.lit(0)), F.greatest(F.floor(b[1]) - padding, F.lit(0))
     x1, y1 = F.least(F.ceil(b[2]) + padding, width.cast("bigint")), F.least(F.ceil(b[3]) + padding, height.cast("bigint"))
-    return F.when((x1 > x0) & (y1 > y0), F.array(x0, y0, x1, y1))
+    whole = (F.size(box) == 4) & F.forall(box, lambda v: v.isNotNull())
+    return F.when(whole & (x1 > x0) & (y1 > y0), F.array(x0, y0, x1, y1))
 
 
 def crop_polygon(crop: Column) -> Column:
