@@ -229,7 +229,7 @@ def weighted_distance(a: str, b: str, limit: float = 1.0) -> float:
 
 @F.arrow_udf(T.DoubleType())
 def _distances(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([weighted_distance(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+    return pa.array([min(weighted_distance(x, y), weighted_distance(x.lstrip("(").rstrip("!"), y)) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
 
 def figure(word: Column) -> Column:
@@ -284,6 +284,10 @@ def verdicts(words: DataFrame, pairs: DataFrame) -> DataFrame:
     # An ordinary word explains an unknown one, unless that is seen too often for a misreading.
     ordinary = f"repair_fixed and (n < {OFTEN} or repair_n >= {OFTEN_RATIO} * n)"
     unknown = pairs.filter(f"not fixed and ({ordinary} or repair_n >= greatest(2, {RATIO} * n))")
+    # '(' and '!' may be punctuation or a misread letter: what is known without them is itself.
+    bare = words.filter("fixed or n >= 2").select(F.col("word").alias("_bare"))
+    outer = unknown.select("word").distinct().withColumn("_bare", F.regexp_replace("word", r"^\(+|!+$", "")).filter("_bare <> word")
+    unknown = unknown.join(outer.join(bare, "_bare", "left_semi").select("word"), "word", "left_anti")
     least = unknown.groupBy("word").agg(F.min("cost").alias("cost"))
     chosen = unknown.join(least, ["word", "cost"]).select("word", "repair", "repair_n", "cost")
     figures = words.filter("not fixed").withColumn("repair", figure(F.col("word"))).filter("repair is not null")
