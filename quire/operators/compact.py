@@ -33,6 +33,8 @@ from quire.session import new_scratch, settle
 TARGET_BYTES = 768 * 1024
 LEAST_BYTES = 128 * 1024
 MOST_BYTES = 1024 * 1024
+#: Staged packs are compressed; published ones are the plain records.
+STAGED = "zstd"
 
 MANIFEST = T.StructType(
     [
@@ -138,8 +140,8 @@ def stage_packs(files: DataFrame, key: str, content: str, folder: str, target: i
 
         def flush() -> pa.RecordBatch:
             nonlocal rows, lines, places, size, name
-            with system.open_output_stream(f"{base}/{name}") as out:
-                out.write(b"".join(lines))
+            with system.open_output_stream(f"{base}/{name}") as out, pa.CompressedOutputStream(out, STAGED) as packed:
+                packed.write(b"".join(lines))
             cols = list(zip(*rows))
             kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.string(), pa.int32())
             batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=MANIFEST.names)
@@ -218,7 +220,7 @@ def consolidate(files: DataFrame, key: str, content: str, out: str, least: int =
             lines, size = [], 0
 
         for pack, places in sorted(zip(rows["pack"].to_pylist(), rows["places"].to_pylist())):
-            with source.open_input_stream(f"{base}/{pack}") as stream:
+            with source.open_input_stream(f"{base}/{pack}", compression=STAGED) as stream:
                 whole = stream.read().split(b"\n")
             for p in sorted(places):
                 data = whole[p] + b"\n"
