@@ -36,13 +36,13 @@ def sized_documents(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY)
 def source_supply(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target: supply, target tokens (share as given, of all documents together) and
     what the source can give with all its repeats. Targets without documents have 0."""
-    everything = sized.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"))
+    everything = sized.agg(F.sum("tokens")).first()[0] or 0
     t = targets.groupBy(source_name(F.col("source")).alias("source")).agg(
         F.max(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0))).alias("max_repeats")
     )
     have = sized.groupBy("source").agg(F.sum("tokens").alias("supply_tokens"), F.count(F.lit(1)).alias("documents"))
-    t = t.join(have, "source", "left").na.fill({"supply_tokens": 0, "documents": 0}).crossJoin(F.broadcast(everything))
-    t = t.withColumn("target_tokens", F.col("target_share") * F.col("all_tokens"))
+    t = t.join(have, "source", "left").na.fill({"supply_tokens": 0, "documents": 0})
+    t = t.withColumn("target_tokens", F.col("target_share") * F.lit(everything))
     t = t.withColumn("available_tokens", F.col("supply_tokens") * F.col("max_repeats"))
     return t.withColumn("short", F.col("available_tokens") < F.col("target_tokens"))
 
@@ -80,11 +80,10 @@ def mix_report(mixed: DataFrame, sized: DataFrame, targets: DataFrame) -> DataFr
     """Per target what the mix reached: tokens, share of the mix, wished share scaled to
     one, most uses of a document, and whether the source was too small for its target."""
     got = mixed.groupBy("source").agg(F.sum("tokens").alias("mix_tokens"), F.max("copy").alias("repeats_used"))
-    t = source_supply(sized, targets).join(got, "source", "left").na.fill({"mix_tokens": 0, "repeats_used": 0})
-    whole = t.agg(F.sum("mix_tokens").alias("_mix"), F.sum("target_share").alias("_wish"))
-    t = t.crossJoin(F.broadcast(whole))
+    t = settle(source_supply(sized, targets).join(got, "source", "left").na.fill({"mix_tokens": 0, "repeats_used": 0}), "report")
+    mix_tokens, wish = t.agg(F.sum("mix_tokens"), F.sum("target_share")).first()
     return t.select(
         "source", "documents", "supply_tokens", "max_repeats", "target_share", "target_tokens", "mix_tokens", "repeats_used",
-        (F.col("target_share") / F.nullif(F.col("_wish"), F.lit(0.0))).alias("scaled_share"),
-        (F.col("mix_tokens") / F.nullif(F.col("_mix"), F.lit(0))).alias("actual_share"), "short",
+        (F.col("target_share") / F.lit(wish or None).cast("double")).alias("scaled_share"),
+        (F.col("mix_tokens") / F.lit(mix_tokens or None).cast("double")).alias("actual_share"), "short",
     )

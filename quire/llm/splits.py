@@ -122,13 +122,13 @@ def assign_splits(
     splits fall among light ones, whose size bounds the error. Groups of weight 0 or
     null go where the line stands.
     """
-    total = groups.agg(F.sum(weight).alias("_all"))
-    t = groups.select(F.col(key).alias("_key"), F.coalesce(F.col(weight), F.lit(0)).cast("bigint").alias("_weight")).crossJoin(F.broadcast(total))
-    heavy = F.col("_weight") > F.col("_all") * F.lit(float(large))
+    total = groups.agg(F.sum(weight)).first()[0] or 0
+    t = groups.select(F.col(key).alias("_key"), F.coalesce(F.col(weight), F.lit(0)).cast("bigint").alias("_weight"))
+    heavy = F.col("_weight") > F.lit(float(large) * total)
     t = t.withColumn("_hash", F.xxhash64("_key")).withColumn("_bin", F.when(heavy, F.lit(-1)).otherwise(hash_bin(F.col("_hash"), bins)))
     t = t.withColumn("_order", F.when(heavy, -F.col("_weight")).otherwise(F.col("_hash")))
     t = running_total(t, "_weight", "_bin", ["_order", "_key"], "_end")
-    middle = (F.col("_end") - F.col("_weight") / F.lit(2.0)) / F.greatest(F.col("_all"), F.lit(1))
+    middle = (F.col("_end") - F.col("_weight") / F.lit(2.0)) / F.lit(max(total, 1))
     scale = sum(shares.values())
     edge, pick = 0.0, None
     for name, share in shares.items():
