@@ -17,3 +17,16 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def p5_packs(spark: SparkSession, folder: str) -> DataFrame:
     files = packed_splits(spark, f"{folder}/asset_files.parquet")
     return consolidate(files, "asset_id", "content", new_scratch(spark, "published"))
+
+
+#: Records of the two kinds of files, field by field; numbers as doubles.
+SQL = {
+    "p5_found": """
+    WITH l AS (SELECT asset_id, trim(unnest(string_split_regex(replace(content, chr(65279), ''), '\\r\\n|\\r|\\n'))) AS line FROM asset_files),
+    j AS (SELECT asset_id, line::JSON AS r FROM l WHERE line <> '' AND json_valid(line) AND json_type(line::JSON) = 'OBJECT'),
+    k AS (SELECT DISTINCT asset_id, list_sort(json_keys(r)) AS names, r->>'line_id' AS line_id, r->>'view' AS v, r->>'name' AS name, (r->>'t')::DOUBLE AS t, (r->>'w')::DOUBLE AS w, (r->>'h')::DOUBLE AS h,
+            (r->'ink')::DOUBLE[] AS ink, (r->'p')::DOUBLE[] AS p FROM j),
+    g AS (SELECT list_sort(list(asset_id)) AS a FROM k GROUP BY names, line_id, v, name, t, w, h, ink, p HAVING count(*) > 1)
+    SELECT DISTINCT x AS asset_a, y AS asset_b FROM (SELECT x, unnest(a) AS y FROM (SELECT unnest(a) AS x, a FROM g)) WHERE x < y
+    """,
+}

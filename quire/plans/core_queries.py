@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (pages.p2_found, pages.p2_pages, pages.p2_lines, pages.p2_sources, pages.p2_crops, assets.p5_found, assets.p5_packs)
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(assets.SQL)
 for module in (records, words, decoding, layouts):
     QUERIES |= {f.__name__: f for f in module.ALL}
     SQL |= module.SQL
