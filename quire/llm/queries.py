@@ -105,4 +105,20 @@ SQL: dict[str, str] = {
     UNION
     SELECT 'prepare_ocr', image FROM measured WHERE steps > 40 OR wide
     """,
+    "p4_found": """
+    WITH RECURSIVE plain AS (
+      SELECT id, split, regexp_extract(regexp_replace(translate(document_id, '０１２３４５６７８９．', '0123456789.'), '([0-9])[.]0+([^0-9.]|$)', '\\1\\2'), '[0-9]+') AS n,
+             lower(trim(document_uid)) AS u, out_sha256 AS s FROM samples),
+    keys AS (
+      SELECT id, split, CASE WHEN n <> '' THEN 'n' || regexp_replace(n, '^0+([0-9])', '\\1') END AS n,
+             CASE WHEN u NOT IN ('', '-', 'n/a', 'unknown', 'tbd', 'pending', 'none', 'null') AND NOT regexp_full_match(u, '0+') THEN 'u' || u END AS u, 's' || s AS s FROM plain),
+    ties AS (SELECT DISTINCT n AS a, u AS b FROM keys UNION SELECT DISTINCT n, s FROM keys UNION SELECT DISTINCT u, s FROM keys),
+    edges AS (SELECT a, b FROM ties WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM ties WHERE a IS NOT NULL AND b IS NOT NULL),
+    nodes AS (SELECT n AS k FROM keys UNION SELECT u FROM keys UNION SELECT s FROM keys),
+    reach AS (SELECT k, k AS r FROM nodes WHERE k IS NOT NULL AND NOT starts_with(k, 's') UNION SELECT k, b FROM reach JOIN edges ON r = a),
+    marks AS (SELECT k, min(r) AS c FROM (SELECT k, r FROM reach UNION ALL SELECT r, k FROM reach) GROUP BY k),
+    rows_ AS (SELECT id, split, coalesce((SELECT c FROM marks WHERE k = coalesce(n, u, s)), coalesce(n, u, s)) AS c FROM keys WHERE coalesce(n, u, s) IS NOT NULL),
+    mixed AS (SELECT c, min(id) AS group_id FROM rows_ GROUP BY c HAVING count(DISTINCT split) > 1)
+    SELECT DISTINCT group_id, id FROM rows_ JOIN mixed USING (c)
+    """,
 }
