@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -32,7 +34,9 @@ def scratch_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = context.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="quire-")
+        made = tempfile.mkdtemp(prefix="quire-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        folder = f"file://{made}"
         spark.conf.set(CHECKPOINT_KEY, folder)
     return folder.rstrip("/")
 
