@@ -206,6 +206,15 @@ def weighted_distance(a: str, b: str, limit: float = 1.0) -> float:
     """Edit distance in which a confused pair costs CONFUSION_COST and any other insertion,
     deletion or replacement costs 1; infinity from `limit` on."""
     inf = float("inf")
+    # Ends that are the same leave the distance as it is; two characters of them stay, as a
+    # confused pair may reach into them.
+    n = min(len(a), len(b))
+    k = next((i for i in range(n) if a[i] != b[i]), n)
+    a, b = a[max(0, k - 2) :], b[max(0, k - 2) :]
+    n = min(len(a), len(b))
+    k = next((i for i in range(n) if a[-1 - i] != b[-1 - i]), n)
+    if k > 2:
+        a, b = a[: len(a) - k + 2], b[: len(b) - k + 2]
     best = [[inf] * (len(b) + 1) for _ in range(len(a) + 1)]
     best[0][0] = 0.0
     for i in range(len(a) + 1):
@@ -275,6 +284,9 @@ def candidates(words: DataFrame) -> DataFrame:
     asked = keyed.filter(plain).select("_key", "word", "fixed", "n")
     pairs = asked.join(index, "_key").filter((F.col("word") != F.col("repair")) & (F.col("fixed") | F.col("repair_fixed") | (F.col("repair_n") >= RATIO * F.col("n"))))
     pairs = pairs.filter(~F.col("fixed") | F.col("repair_fixed")).drop("_key").distinct()
+    # Few bytes, but much work for each: kept from being joined into one partition.
+    spark = words.sparkSession
+    pairs = pairs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
     return pairs.withColumn("cost", _distances("word", "repair")).filter("cost < 1")
 
 
