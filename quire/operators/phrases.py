@@ -18,7 +18,7 @@ _WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
 _ASCII_TABLE = {**dict.fromkeys(map(ord, tx.SINGLE_QUOTES), "'"), **dict.fromkeys(map(ord, tx.DOUBLE_QUOTES), '"'), **dict.fromkeys(map(ord, tx.DASHES), "-"), ord(tx.NO_BREAK_SPACE): " ", **{ord(k): v for k, v in tx.WIDE_REPLACEMENTS}}
 
 # Marks of lines that aren't text of the page.
-WATERMARKS = ("watermark", "sample copy")
+WATERMARKS = ("document shared on", "downloaded by")
 # End of fixed values.
 
 
@@ -40,7 +40,7 @@ def exclusion(word: Column, stamped: Column | None = None, outside: Column | Non
     """Why a word can't be trained on, the first reason that holds, or null: it lies in a
     stamp, has a character without an ASCII form, lies outside the crop, or is too long."""
     plain = ascii_form(word)
-    reason = F.when(F.coalesce(stamped, F.lit(False)) if stamped is not None else F.lit(False), "stamp_geometry")
+    reason = F.when(F.coalesce(stamped, F.lit(False)) if stamped is not None else F.lit(False), "watermark_geometry")
     reason = reason.when(~printable_ascii(plain), "unsupported_character")
     if outside is not None:
         reason = reason.when(F.coalesce(outside, F.lit(True)), "outside_or_partial_word")

@@ -82,3 +82,13 @@ def test_strict_replies():
     for bad in (None, "", '{"text": 1}', '{"text": "a"} x', '{"text": "a", "more": 1}', "{}", "```"):
         assert names.read_strict(bad, keys) is None
     assert names.read_strict('{"k": true}', {"k": "int"}) is None
+
+
+def test_exclusion_reasons(spark):
+    df = spark.createDataFrame([("ok", False, False), ("é", False, True), ("in", True, False), ("x" * 30, False, False), ("edge", False, True), ("quote“", None, None)], "w string, s boolean, o boolean")
+    got = [r["r"] for r in df.select(phrases.exclusion(F.col("w"), F.col("s"), F.col("o")).alias("r")).collect()]
+    assert got == [None, "unsupported_character", "watermark_geometry", "word_exceeds_ctc_capacity", "outside_or_partial_word", "outside_or_partial_word"]
+    assert one(spark, "Downloaded BY x", phrases.is_watermark) and not one(spark, "downloads", phrases.is_watermark)
+    stamp = spark.createDataFrame([([(0, 0, 5, 5)],)], "s array<struct<x0:int,y0:int,x1:int,y1:int>>")
+    inside = stamp.select(phrases.in_stamp(F.lit(5), F.lit(0), F.col("s")).alias("a"), phrases.in_stamp(F.lit(6), F.lit(0), F.col("s")).alias("b")).first()
+    assert (inside["a"], inside["b"]) == (True, False)
