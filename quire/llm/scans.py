@@ -279,15 +279,15 @@ def candidates(words: DataFrame) -> DataFrame:
     may be a misreading of, from the symmetric-delete index. Figures are never repaired
     into other figures."""
     plain = ~F.col("word").rlike(r"\A[0-9.,/:%-]+\z")
-    keyed = words.withColumn("_key", F.explode(deletes(F.col("skeleton"))))
+    # Few bytes, but much work for each: kept from being joined into one partition.
+    spark = words.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    keyed = words.repartition(tasks, "word").withColumn("_key", F.explode(deletes(F.col("skeleton"))))
     index = keyed.filter("fixed or n >= 2").select("_key", F.col("word").alias("repair"), F.col("fixed").alias("repair_fixed"), F.col("n").alias("repair_n"))
     asked = keyed.filter(plain).select("_key", "word", "fixed", "n")
     pairs = asked.join(index, "_key").filter((F.col("word") != F.col("repair")) & (F.col("fixed") | F.col("repair_fixed") | (F.col("repair_n") >= RATIO * F.col("n"))))
     pairs = pairs.filter(~F.col("fixed") | F.col("repair_fixed")).drop("_key").distinct()
-    # Few bytes, but much work for each: kept from being joined into one partition.
-    spark = words.sparkSession
-    pairs = pairs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
-    return pairs.withColumn("cost", _distances("word", "repair")).filter("cost < 1")
+    return pairs.repartition(tasks).withColumn("cost", _distances("word", "repair")).filter("cost < 1")
 
 
 def verdicts(words: DataFrame, pairs: DataFrame) -> DataFrame:
