@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 # Letter groups that recognizers confuse, and edit costs.
 CONFUSIONS = [("rn", "m"), ("cl", "d"), ("vv", "w"), ("1", "l"), ("1", "I"), ("0", "O")]
 CONFUSED, CASE_ONLY = 0.35, 0.2
+# Words meet on keys made of their first characters only, which misses nothing.
+START = 7
 # End of fixed values.
 
 BOTH_WAYS = CONFUSIONS + [(b, a) for a, b in CONFUSIONS]
@@ -88,17 +90,20 @@ def _deletion_keys(word: Column, depth: int) -> Column:
     return keys
 
 
-def lexicon_lookup(words: DataFrame, lexicon: DataFrame, limit: int = 8, depth: int = 1, max_edit: int = 2) -> DataFrame:
+def lexicon_lookup(words: DataFrame, lexicon: DataFrame, limit: int = 8, depth: int = 3, max_edit: int = 3) -> DataFrame:
     """(word, term, cost, rank): up to `limit` terms of `lexicon` (word, count) for each
     distinct word, cheapest first, then by count, then by the term.
 
-    Words and terms meet on a common form with at most `depth` characters left out of
-    either; terms further than `max_edit` unit edits are dropped. With depth equal to
-    max_edit no term within it is missed.
+    Words and terms meet on a common form of their first START characters with at most
+    `depth` characters left out of either; terms further than `max_edit` unit edits are
+    dropped. With depth equal to max_edit no term within it is missed: whichever start
+    ends first in the alignment, all but max_edit of its characters lie in the other.
     """
-    asked = words.select("word").distinct().withColumn("_key", F.explode(_deletion_keys(F.lower("word"), depth)))
-    terms = lexicon.select(F.col("word").alias("term"), "count").withColumn("_key", F.explode(_deletion_keys(F.lower("term"), depth)))
-    pairs = asked.join(terms, "_key").drop("_key").distinct().filter(F.levenshtein(F.lower("word"), F.lower("term"), max_edit) >= 0)
+    keys = lambda c: F.explode(_deletion_keys(F.substring(F.lower(c), 1, START), depth))
+    asked = words.select("word").distinct().withColumn("_key", keys("word"))
+    terms = lexicon.select(F.col("word").alias("term"), "count").withColumn("_key", keys("term"))
+    near = F.abs(F.length(F.lower("word")) - F.length(F.lower("term"))) <= max_edit
+    pairs = asked.join(terms, "_key").filter(near).drop("_key").distinct().filter(F.levenshtein(F.lower("word"), F.lower("term"), max_edit) >= 0)
     pairs = pairs.withColumn("cost", weighted_edit(F.col("word"), F.col("term")))
     rank = F.row_number().over(Window.partitionBy("word").orderBy("cost", F.desc("count"), "term"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= limit).select("word", "term", "cost", "rank")

@@ -66,6 +66,33 @@ def test_lexicon_lookup_matches_brute_force(spark):
     assert got == want
 
 
+def unit_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_lexicon_lookup_as_registered_misses_nothing(spark):
+    rng = random.Random(4)
+    terms = sorted({"".join(rng.choices("abcdel", k=rng.randint(1, 12))) for _ in range(150)} | {"canvass", "moment"})
+    words = ["cxnvxsx", "rnoment", "cnvs"]
+    for t in rng.sample(terms, 60):
+        w = list(t)
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randint(0, len(w))
+            w[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "x"])
+        words.append("".join(w) or "q")
+    lexicon = spark.createDataFrame([(t, 1) for t in terms], "word string, count long")
+    out = spelling.lexicon_lookup(spark.createDataFrame([(w,) for w in words], "word string"), lexicon, limit=1000)
+    got = {(r["word"], r["term"]): r["cost"] for r in out.collect()}
+    want = {(w, t): spelling.edit_cost(w, t) for w in set(words) for t in terms if unit_edits(w, t) <= 3}
+    assert got == want and ("cxnvxsx", "canvass") in got
+
+
 def test_names_and_flags(spark):
     assert one(spark, "ok.v1", names.safe_filename) == "ok.v1"
     for odd in ("con.txt", "a/b", "x.", "#1", ""):
