@@ -70,14 +70,16 @@ def _sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def candidate_plan(spark: SparkSession, folder: str) -> DataFrame:
-    """Spans and candidates of all lines with a reading, one row a candidate."""
+    """Spans and candidates of all lines with a reading, one row a candidate. A line without
+    spans is one row, with its error if it couldn't be planned; the error also names sources
+    that were left out of a plan."""
     counts = {r["word"]: r["n_seen"] for r in table(spark, folder, "lexicon").limit(200_001).collect()}
     # Planning costs far more than an exchange, and small partitions aren't to be joined before it.
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     planned = _sources(spark, folder).repartition(tasks, "line_id").select("line_id", candidates.plans(F.col("sources"), counts).alias("p"))
-    spans = planned.select("line_id", "p.base_source", F.explode("p.spans").alias("s"))
-    rows = spans.select("line_id", "base_source", F.col("s.id").alias("span_id"), F.col("s.original").alias("original"), F.explode("s.candidates").alias("c"))
-    return rows.select("line_id", "base_source", "span_id", "original", F.col("c.id").alias("candidate_id"), F.col("c.text").alias("text"), F.col("c.origin").alias("origin"), F.round("c.edit_cost", 4).alias("edit_cost"))
+    spans = planned.select("line_id", "p.base_source", "p.error", F.explode_outer("p.spans").alias("s"))
+    rows = spans.select("line_id", "base_source", "error", F.col("s.id").alias("span_id"), F.col("s.original").alias("original"), F.explode_outer("s.candidates").alias("c"))
+    return rows.select("line_id", "base_source", "error", "span_id", "original", F.col("c.id").alias("candidate_id"), F.col("c.text").alias("text"), F.col("c.origin").alias("origin"), F.round("c.edit_cost", 4).alias("edit_cost"))
 
 
 def base_readings(spark: SparkSession, folder: str) -> DataFrame:
