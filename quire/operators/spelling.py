@@ -104,7 +104,10 @@ def lexicon_lookup(words: DataFrame, lexicon: DataFrame, limit: int = 8, depth:
     ends first in the alignment, all but max_edit of its characters lie in the other.
     """
     keys = lambda c: F.explode(_deletion_keys(F.substring(F.lower(c), 1, START), depth))
-    asked = words.select("word").distinct().withColumn("_key", keys("word"))
+    spark = words.sparkSession
+    # Keys and costs are worth more tasks than the size of the words would give.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    asked = words.select("word").repartition(tasks, "word").distinct().withColumn("_key", keys("word"))
     terms = lexicon.select(F.col("word").alias("term"), "count").withColumn("_key", keys("term"))
     near = F.abs(F.length(F.lower("word")) - F.length(F.lower("term"))) <= max_edit
     pairs = asked.join(terms, "_key").filter(near).drop("_key").distinct().filter(F.levenshtein(F.lower("word"), F.lower("term"), max_edit) >= 0)

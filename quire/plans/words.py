@@ -97,10 +97,12 @@ def weighted_edit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lexicon_topk(spark: SparkSession, folder: str) -> DataFrame:
-    """The lexicon words nearest to each word of the page lines that isn't one."""
+    """The lexicon words nearest to each word of the page lines that isn't one. Words are
+    all tokens with a letter, in lower case and without signs at their ends."""
     lexicon = table(spark, folder, "lexicon").select("word", F.col("n_seen").alias("count"))
-    words = _lines(spark, folder).filter("text is not null").select(F.explode(F.split("text", " ")).alias("word")).filter(F.col("word").rlike(r"\A[a-z]{4,}\z")).distinct()
-    unknown = words.join(lexicon, "word", "left_anti")
+    tokens = _lines(spark, folder).filter("text is not null").select(F.explode(F.split("text", r"(?U)\s+")).alias("word")).filter(F.col("word").rlike(r"\p{L}")).distinct()
+    words = tokens.select(F.lower(F.regexp_replace("word", r"^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$", "")).alias("word"))
+    unknown = words.join(lexicon.select(F.lower("word").alias("word")), "word", "left_anti")
     return spelling.lexicon_lookup(unknown, lexicon)
 
 

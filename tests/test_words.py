@@ -93,6 +93,17 @@ def test_lexicon_lookup_as_registered_misses_nothing(spark):
     assert got == want and ("cxnvxsx", "canvass") in got
 
 
+def test_every_token_with_a_letter_is_looked_up(spark, tmp_path):
+    from quire.plans.words import lexicon_topk
+
+    texts = ["C0urt, 1ittle c@nvass 1832 - (Tha) court. zo", "the \u201cCourt\u201d c0urt\tof", None]
+    kind = "id string, fingerprint string, written_at long, lines array<struct<line_id:string,text:string,order:int,column_no:int,box:array<int>,raw_text:string,status:string>>"
+    spark.createDataFrame([("p", "f", 1, [(f"l{i}", t, i, 0, None, None, "ok") for i, t in enumerate(texts)])], kind).write.parquet(f"{tmp_path}/ocr_lines.parquet")
+    spark.createDataFrame([(w, 1) for w in ("court", "little", "canvass", "the", "of", "to")], "word string, n_seen long").write.parquet(f"{tmp_path}/lexicon.parquet")
+    got = {r["word"]: r["term"] for r in lexicon_topk(spark, str(tmp_path)).filter("rank = 1").collect()}
+    assert got == {"c0urt": "court", "1ittle": "little", "c@nvass": "canvass", "tha": "the", "zo": "to"}
+
+
 def test_names_and_flags(spark):
     assert one(spark, "ok.v1", names.safe_filename) == "ok.v1"
     for odd in ("con.txt", "a/b", "x.", "#1", ""):
