@@ -102,8 +102,10 @@ def _units(text: str) -> list[str]:
     return [_HYPHENATED.sub("", u).replace("\n", " ") if "\n" in u else u for u in out]
 
 
-def _sentences(unit: str) -> list[list[str]]:
-    """The sentences of a stretch as lists of words."""
+def _sentences(unit: str) -> list[tuple[list[str], bool]]:
+    """The sentences of a stretch as lists of words, each with whether stops are lost there:
+    it has no stop at its end, a sentence opens inside what lies between two stops, or most
+    words have no blanks between them, as in noise of letters and figures."""
     if "(" in unit:
         unit = _ASIDE.sub(" ", unit)
     ends, at = [], 0
@@ -114,9 +116,10 @@ def _sentences(unit: str) -> list[list[str]]:
             continue
         ends.append(unit[at : m.end()])
         at = m.end()
+    stopped = len(ends)
     ends.append(unit[at:])
     out = []
-    for part in ends:
+    for k, part in enumerate(ends):
         words = _WORD.findall(part)
         if len(words) > LONGEST_SENTENCE and not part.isupper():
             # Full stops are lost: a capital on a function word opens a sentence.
@@ -124,11 +127,11 @@ def _sentences(unit: str) -> list[list[str]]:
             for i in range(1, len(words)):
                 w = words[i]
                 if w[0].isupper() and w[1:].islower() and w.lower() in ENGLISH and i - start >= 3:
-                    out.append(words[start:i])
+                    out.append((words[start:i], True))
                     start = i
-            out.append(words[start:])
+            out.append((words[start:], start > 0 or k >= stopped or len(words) > 2 * len(part.split())))
         elif words:
-            out.append(words)
+            out.append((words, k >= stopped))
     return out
 
 
@@ -139,7 +142,7 @@ def read_level(text: str | None) -> tuple[float | None, int, float, bool]:
     foreign = 0
     if text:
         for unit in _units(text):
-            for s in _sentences(unit):
+            for s, lost in _sentences(unit):
                 n = len(s)
                 if n < 3:
                     continue
@@ -149,8 +152,8 @@ def read_level(text: str | None) -> tuple[float | None, int, float, bool]:
                     foreign += n
                 elif english / n >= 0.12:
                     syl = packed & MASK
-                    # A run whose stops can't be found counts as the sentences that its words suggest.
-                    sentences += max(1.0, n / max(5.0, 7.6 * syl / n - 1.5)) if n > LONGEST_SENTENCE else 1
+                    # A run whose stops are lost counts as the sentences that its words suggest.
+                    sentences += max(1.0, n / max(5.0, 7.6 * syl / n - 1.5)) if lost and n > LONGEST_SENTENCE else 1
                     words += n
                     count += syl
                     letters += packed >> FIELD & MASK

@@ -28,6 +28,14 @@ def test_form_makes_no_text_harder():
             assert (grade(form) >= reading.UNIVERSITY) == hard, form[:60]
 
 
+def test_a_long_sentence_with_its_stop_is_one():
+    long = "The court held that the consideration which the parties had offered to one another, and which neither of them had at any later time withdrawn, was in the opinion of the judges sufficient to support the obligation that the plaintiff asserted against the defendant, notwithstanding the absence of any formal instrument of agreement between them. "
+    assert len(long.split()) > reading.LONGEST_SENTENCE
+    assert reading.read_level(long * 3)[2] == 3 and grade(long * 3) >= reading.UNIVERSITY
+    assert reading.read_level((long * 3).replace(".", "").lower())[2] > 3
+    assert reading.read_level("1f3a6c9e5a1e" * 200 + ".")[2] > 3
+
+
 def test_no_prose_no_grade():
     assert grade(None) is None and grade("") is None and grade(" \n ") is None
     assert grade("epistemology\nrationalisation\ncontextualisation\nheterogeneity\n" * 10) is None
