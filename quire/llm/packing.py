@@ -1,11 +1,12 @@
 """Filling fixed-capacity containers with texts of varying length.
 
-Hierarchical packing: a text goes to the tier of the smallest window (capacity, half,
-a quarter, ...) that holds it. Inside a shard the tiers are packed longest first, and
-what is left of a container's window is filled with the longest items that fit, taken
-from the same tier or shorter ones. Shards are even because their number follows the
-total size and a row's shard comes from a hash of its key; each leaves one container
-partly empty at most in practice. Only keys and sizes are exchanged, never texts.
+Inside a shard, containers are filled by plain longest-first best fit over all lengths:
+the longest text left opens a container, and what is left of it is filled with the longest
+texts that fit. The tier of a text, the smallest window (capacity, half, a quarter, ...)
+that holds it, is only a label: tiers aren't packed on their own. Shards are even because
+their number follows the total size and a row's shard comes from a hash of its key; each
+leaves one container partly empty at most in practice. Only keys and sizes are exchanged,
+never texts.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ def fill(sizes: list[int], capacity: int) -> list[list[int]]:
     """Positions of `sizes` by container. Every position with a size of 1..capacity comes
     out exactly once; containers never exceed the capacity.
 
-    Containers are opened by the longest item left, so the long tier opens first; a gap
-    takes the longest waiting item that fits, whichever tier it is in.
+    Containers are opened by the longest item left; a gap takes the longest waiting item
+    that fits.
     """
     waiting: dict[int, deque[int]] = defaultdict(deque)
     for i, n in enumerate(sizes):
