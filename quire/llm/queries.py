@@ -75,12 +75,19 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(*_mixed(spark, folder))
 
 
+def _read_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, reading.LanguageOdds]:
+    documents = table(spark, folder, "documents")
+    return spread(documents.select("doc_id", "text")), reading.fit_language(documents)
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return reading.university(spread(table(spark, folder, "documents").select("doc_id", "text"))).distinct()
+    documents, odds = _read_documents(spark, folder)
+    return reading.university(documents, odds).distinct()
 
 
 def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
-    return reading.profile(spread(table(spark, folder, "documents").select("doc_id", "text")))
+    documents, odds = _read_documents(spark, folder)
+    return reading.profile(documents, odds=odds)
 
 
 QUERIES: dict[str, Query] = {

@@ -3,63 +3,126 @@
 The prose of a text is taken apart from its layout (page lines, lists, tables, headings),
 split into sentences with care for abbreviations and missing full stops, and measured by
 five classic formulas over sentence length, syllables and letters. The median of the five
-is the estimate. Everything works on whole texts, a row at a time, in Arrow batches.
+is the estimate. Syllables come from hyphenation patterns with competing levels. The
+language of a sentence is told by character trigrams, of which the odds are fitted on a
+bounded sample of labelled rows; labels may be wrong, as the odds are those of the
+majority. Texts are graded whole, a row at a time, in Arrow batches.
+
+No rule depends on the length of a sentence: one that has its stop is one sentence, however
+long. Words without a stop behind them count as sentences of the length that the text's
+own stopped sentences have, or of USUAL words, so that the estimate is continuous in length.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import unicodedata
+from collections import Counter
 from statistics import median
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Grade from which a text demands university reading; easier prose stays below 14.1 on all test tables.
-UNIVERSITY = 14.5
+from quire.functions.text import strip_blanks
+
+#: Grade from which a text demands university reading: grade 15, as the project puts it.
+UNIVERSITY = 15.0
 #: Fewer words of prose than this give no estimate.
 LEAST_WORDS = 15
-#: A run of more words than this without a stop is taken for sentences whose stops are lost.
-LONGEST_SENTENCE = 45
+#: Words of a sentence where a text has no stopped sentences to go by: a common mean of
+#: English prose.
+USUAL = 20.0
+#: Stopped sentences that a text needs for its own mean to count.
+OWN_SENTENCES = 3
+#: Share of function words from which a sentence is prose rather than a list of terms.
+PROSE_SHARE = 0.12
+#: Labelled rows on which the trigram odds are fitted: at most so many for each of English and not.
+LABELLED_ROWS = 2_000
 CACHE_LIMIT = 500_000
 #: Bits of a packed field; no sentence has more letters than that.
 FIELD = 40
 MASK = (1 << FIELD) - 1
 
-# Function words by language, and abbreviations that don't end a sentence.
+# Function words of English, abbreviations that don't end a sentence, and how
+# labels name English.
 ENGLISH = set(
     "the of and to in that is a it by for with on as was were are be been this these those which who whose what when where why how whether if or nor neither than then from into through between after before over under near "
     "not no he she they we you i his her their its our your him them us there here each every most few some any all such one further also but because so since although while do does did has have had can could will would should may might must at".split()
 )
-FOREIGN = set(
-    "el la los las un una del que por para como cuando porque cada pero con sin sobre le les des une du dans qui quand chaque mais avec sans sur et est il lo gli uno della nel che quando ogni poi con senza "
-    "der die das ein eine einer dem den und oder aber wenn weil jede jeder mit ohne auf nicht ist im zum zur au aux ou car en y e o su sus es son".split()
-) - ENGLISH
 ABBREVIATIONS = set("approx cf eg e.g ie i.e vol no nos ca c fig figs p pp ch sec eq etc ed eds al vs viz dr mr mrs ms prof st jr sr inc ltd co dept est max min ref refs resp op cit ibid tab app".split())
+ENGLISH_LABELS = ["en", "eng", "english"]
+NO_LABELS = ["", "und", "unknown", "zxx", "mul", "-", "?", "n/a", "null", "none"]
+
+# Hyphenation patterns: V stands for a vowel, C for a consonant, '.' for an end of the word.
+# A digit is the level of the place it stands at; of all patterns that fit the highest level
+# counts, and odd levels break the word.
+PATTERNS = (
+    "1CV i1a i1o i1u u1a u1ou u1o e1o e1u a1o o1et y1a y1i y1o i1et i1ety i1ence sci3en di1e "
+    "e1ing o1ing u1ing a1ing y1ing i1ing e1ity u1ity e1ist o1ist i1ist u1ist o1ic a1ic .re1e .pre1e .co1o .co1e .bi1e "
+    ".re1act .re1al .re1ap cre1at po1e flu1id ru1in li1on de1a. re1a. "
+    "ti2o si2o ci2o xi2o gi2o ti2a ci2a si2a gi2a ti2en ci2en ci2es ge2ou ce2ou te2ou e2ople gu2a gu2i pe2o "
+    "i3ation i3ate i3ating i3ative ci3at ti3at bi3o soci3o ge3og ge3ol ge3om the3o "
+    "2Ce. 2Ces. 2Ced. 2Cely 2Cement. 2Ceful. 2Celess. 2Ceness. "
+    "3Cle. 3Cled. 3Cles. 4lle. 4lles. 4lled. 4rle. 3ces. 3ses. 3zes. 3ges. 3xes. 3ches. 3shes. 3ted. 3ded. 3lement."
+).split()
 # End of fixed values.
 
-_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:['’-][^\W\d_]+)*(?!\w)")
 _ASIDE = re.compile(r"\([^()]{0,120}\)")
 _HYPHENATED = re.compile(r"(?<=[^\W\d_])[-­‐¬]\s*\n\s*(?=[a-z])", re.I)
 _BULLET = re.compile(r"^\s*(?:[*•·‣–—-]|\(?[0-9]{1,3}[.)]|\(?[a-zA-Z][.)])\s+")
 _STOP = re.compile(r"[.!?]+[\"'”’)\]]*(?=\s|\Z)")
 _BLOCKS = re.compile(r"\n\s*\n")
+_CONSONANT_Y = re.compile(r"(?:^|(?<=[aeiou]))y(?=[aeiou])")
+
+
+def _compiled(pattern: str) -> tuple[re.Pattern, list[tuple[int, int]]]:
+    """A pattern as an expression that finds overlapping places, and its (offset, level)s."""
+    levels, body, at = [], "", 0
+    for c in pattern:
+        if c.isdigit():
+            levels.append((at, int(c)))
+            continue
+        body += {"V": "[aeiouy]", "C": "[b-df-hj-np-tv-xz]", ".": r"\."}.get(c, c)
+        at += 1
+    return re.compile(f"(?={body})"), levels
+
+
+_PATTERNS = [_compiled(p) for p in PATTERNS]
+_VOWEL = re.compile("[aeiouy]")
+
+
+def hyphenate(word: str) -> list[str]:
+    """The parts of a lower-case word between the breaks that PATTERNS give; every part has a
+    vowel, so that their number is that of the syllables."""
+    plain = "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c))
+    plain = _CONSONANT_Y.sub("j", plain.replace("qu", "qw"))
+    marked = f".{plain}."
+    level = [0] * (len(marked) + 1)
+    for expression, places in _PATTERNS:
+        for m in expression.finditer(marked):
+            for off, n in places:
+                level[m.start() + off] = max(level[m.start() + off], n)
+    parts, start = [], 1
+    for i in range(2, len(marked) - 1):
+        if level[i] % 2 and _VOWEL.search(marked, start, i) and _VOWEL.search(marked, i, len(marked) - 1):
+            parts.append(marked[start:i])
+            start = i
+    parts.append(marked[start:-1])
+    return parts
 
 
 def syllables(word: str) -> int:
-    """Syllables of a lower-case word: vowel groups, with the breaks and the silent endings
-    at which a hyphenation table would differ from them. At least 1."""
-    n = len(re.findall(r"[aeiouyáéíóúàèìòùäöüâêîôû]+", word))
-    n += len(re.findall(r"ia(?!l\b|n\b)|io(?!n|us)|eo(?!us)|ua|[^q]uo|iu|[aeiou]ing", word))
-    if re.search(r"[^aeiouyl]e$|[^aeiouy]les?$|[^aeioutdy]ed$|(?<![csxzg])(?<!sh)(?<!ch)es$", word):
-        n -= 0 if re.search(r"[^aeiouy]les?$", word) else 1
-    return max(1, n)
+    """Syllables of a word, at least 1."""
+    return len(hyphenate(word))
 
 
 class _Words(dict):
-    """word as written -> syllables, letters, long word, English and foreign function word,
-    packed into one integer of which sums over a sentence keep the fields apart."""
+    """word as written -> syllables, letters, long word and English function word, packed
+    into one integer of which sums over a sentence keep the fields apart."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE_LIMIT:
@@ -67,7 +130,7 @@ class _Words(dict):
         low = word.lower()
         parts = [p for p in re.split(r"['’-]", low) if p]
         syl = sum(map(syllables, parts))
-        fields = (syl, sum(map(len, parts)), syl >= 3, low in ENGLISH, low in FOREIGN)
+        fields = (syl, sum(map(len, parts)), syl >= 3, low in ENGLISH)
         self[word] = sum(int(f) << (FIELD * i) for i, f in enumerate(fields))
         return self[word]
 
@@ -75,6 +138,58 @@ class _Words(dict):
 _words = _Words()
 
 
+# ---------------------------------------------------------------- language
+
+
+def _trigrams(word: str) -> list[str]:
+    marked = f"^{word.lower()}$"
+    return [marked[i : i + 3] for i in range(len(marked) - 2)]
+
+
+class LanguageOdds(dict):
+    """word -> log odds of its trigrams in English against other languages. Without trigrams
+    of both sides every word is taken for English."""
+
+    def __init__(self, english: dict[str, int], other: dict[str, int]) -> None:
+        super().__init__()
+        kinds = len(english.keys() | other.keys()) + 1
+        self.sides = (english, sum(english.values()) + kinds, other, sum(other.values()) + kinds) if english and other else None
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= CACHE_LIMIT:
+            self.clear()
+        if self.sides is None:
+            return 1.0
+        a, n, b, m = self.sides
+        odds = sum(math.log((a.get(t, 0) + 1) / n) - math.log((b.get(t, 0) + 1) / m) for t in _trigrams(word))
+        self[word] = odds
+        return odds
+
+
+def fit_language(documents: DataFrame, text: str = "text", label: str = "lang", rows: int = LABELLED_ROWS) -> LanguageOdds:
+    """Trigram odds from at most `rows` labelled texts of English and as many of others, taken
+    by a hash of the text. Rows without a label, and tables without the column, say nothing."""
+    if label not in documents.columns:
+        return LanguageOdds({}, {})
+    name = F.lower(strip_blanks(F.col(label)))
+    known = documents.select(F.col(text).alias("_t"), F.regexp_extract(name, r"^[a-z]+", 0).alias("_l")).filter(~F.col("_l").isin(NO_LABELS) & F.col("_t").isNotNull())
+    known = known.select("_t", F.col("_l").isin(ENGLISH_LABELS).alias("_en"))
+    sizes = {r["_en"]: r["n"] for r in known.groupBy("_en").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
+    if len(sizes) == 2:
+        drawn = F.pmod(F.xxhash64("_t"), F.lit(1_000_000))
+        bar = F.when(F.col("_en"), F.lit(1e6 * rows / sizes[True])).otherwise(F.lit(1e6 * rows / sizes[False]))
+        sample = known.filter(drawn < bar)
+        for r in sample.filter("_en").limit(rows).union(sample.filter("not _en").limit(rows)).toLocalIterator():
+            for word, n in Counter(_WORD.findall(r["_t"])).items():
+                for t in _trigrams(word):
+                    counts[r["_en"]][t] += n
+    return LanguageOdds(dict(counts[True]), dict(counts[False]))
+
+
+# ---------------------------------------------------------------- sentences
+
+
 def _units(text: str) -> list[str]:
     """Stretches of text that layout sets apart: paragraphs with their page lines joined,
     and the items of lists."""
@@ -102,10 +217,15 @@ def _units(text: str) -> list[str]:
     return [_HYPHENATED.sub("", u).replace("\n", " ") if "\n" in u else u for u in out]
 
 
+def _openings(words: list[str]) -> list[int]:
+    """Places inside a run of words at which a sentence opens though no stop is before it: a
+    capital on a function word between words without one."""
+    return [i for i in range(3, len(words) - 1) if words[i][0].isupper() and words[i][1:].islower() and words[i - 1].islower() and words[i + 1].islower() and words[i].lower() in ENGLISH]
+
+
 def _sentences(unit: str) -> list[tuple[list[str], bool]]:
-    """The sentences of a stretch as lists of words, each with whether stops are lost there:
-    it has no stop at its end, a sentence opens inside what lies between two stops, or most
-    words have no blanks between them, as in noise of letters and figures."""
+    """The sentences of a stretch as lists of words, each with whether it has its stop. Runs
+    that a sentence opens inside are cut there; what is before an opening counts as whole."""
     if "(" in unit:
         unit = _ASIDE.sub(" ", unit)
     ends, at = [], 0
@@ -121,43 +241,43 @@ def _sentences(unit: str) -> list[tuple[list[str], bool]]:
     out = []
     for k, part in enumerate(ends):
         words = _WORD.findall(part)
-        if len(words) > LONGEST_SENTENCE and not part.isupper():
-            # Full stops are lost: a capital on a function word opens a sentence.
-            start = 0
-            for i in range(1, len(words)):
-                w = words[i]
-                if w[0].isupper() and w[1:].islower() and w.lower() in ENGLISH and i - start >= 3:
-                    out.append((words[start:i], True))
-                    start = i
-            out.append((words[start:], start > 0 or k >= stopped or len(words) > 2 * len(part.split())))
-        elif words:
-            out.append((words, k >= stopped))
+        if not words:
+            continue
+        opened = [0, *([] if part.isupper() else _openings(words))]
+        for a, b in zip(opened, [*opened[1:], len(words)]):
+            out.append((words[a:b], k < stopped or b < len(words)))
     return out
 
 
-def read_level(text: str | None) -> tuple[float | None, int, float, bool]:
+def read_level(text: str | None, odds: LanguageOdds | None = None) -> tuple[float | None, int, float, bool]:
     """(grade, words of English prose, sentences, whether the running text is English)."""
-    words = count = letters = hard = 0
+    words = count = letters = hard = stopped = unstopped = foreign = 0
     sentences = 0.0
-    foreign = 0
+    open_runs: list[int] = []
+    odds = odds if odds is not None else LanguageOdds({}, {})
     if text:
         for unit in _units(text):
-            for s, lost in _sentences(unit):
+            for s, whole in _sentences(unit):
                 n = len(s)
                 if n < 3:
                     continue
-                packed = sum(map(_words.__getitem__, s))
-                english, other = packed >> FIELD * 3 & MASK, packed >> FIELD * 4
-                if other > english:
+                if sum(map(odds.__getitem__, s)) <= 0:
                     foreign += n
-                elif english / n >= 0.12:
-                    syl = packed & MASK
-                    # A run whose stops are lost counts as the sentences that its words suggest.
-                    sentences += max(1.0, n / max(5.0, 7.6 * syl / n - 1.5)) if lost and n > LONGEST_SENTENCE else 1
-                    words += n
-                    count += syl
-                    letters += packed >> FIELD & MASK
-                    hard += packed >> FIELD * 2 & MASK
+                    continue
+                packed = sum(map(_words.__getitem__, s))
+                if (packed >> FIELD * 3) / n < PROSE_SHARE:
+                    continue
+                words += n
+                count += packed & MASK
+                letters += packed >> FIELD & MASK
+                hard += packed >> FIELD * 2 & MASK
+                if whole:
+                    sentences += 1
+                    stopped += n
+                else:
+                    open_runs.append(n)
+    usual = stopped / sentences if sentences >= OWN_SENTENCES else USUAL
+    sentences += sum(max(1.0, n / usual) for n in open_runs)
     english_text = words > 0 and words >= foreign
     if words < LEAST_WORDS:
         return None, words, sentences, english_text
@@ -175,24 +295,28 @@ def read_level(text: str | None) -> tuple[float | None, int, float, bool]:
 LEVEL = T.StructType([T.StructField("grade", T.DoubleType()), T.StructField("prose_words", T.IntegerType()), T.StructField("sentences", T.DoubleType()), T.StructField("english", T.BooleanType())])
 
 
-@F.arrow_udf(LEVEL)
-def _levels(texts: pa.Array) -> pa.Array:
-    rows = [read_level(t) for t in texts.to_pylist()]
-    kinds = (pa.float64(), pa.int32(), pa.float64(), pa.bool_())
-    return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["grade", "prose_words", "sentences", "english"])
-
+def profile(documents: DataFrame, key: str = "doc_id", text: str = "text", odds: LanguageOdds | None = None) -> DataFrame:
+    """(key, grade, prose_words, sentences, english), a row for each row of `documents`.
 
-def reading_level(text: Column) -> Column:
-    """Struct(grade, prose_words, sentences, english). The grade is null for null, blank
-    and foreign-only texts and for texts with hardly any prose (LEAST_WORDS)."""
-    return _levels(text)
+    The grade is null for null, blank and foreign-only texts and for texts with hardly any
+    prose (LEAST_WORDS). `odds` tell English from other languages (fit_language); without
+    them every language counts that uses English function words. Repeated rows stay, other
+    columns are ignored.
+    """
+    sides = odds.sides if odds is not None else None
+    made: list[LanguageOdds] = []
 
+    @F.arrow_udf(LEVEL)
+    def levels(texts: pa.Array) -> pa.Array:
+        if not made:
+            made.append(LanguageOdds(sides[0], sides[2]) if sides else LanguageOdds({}, {}))
+        rows = [read_level(t, made[0]) for t in texts.to_pylist()]
+        kinds = (pa.float64(), pa.int32(), pa.float64(), pa.bool_())
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["grade", "prose_words", "sentences", "english"])
 
-def profile(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, grade, prose_words, sentences, english), a row for each row of `documents`."""
-    return documents.select(key, reading_level(F.col(text)).alias("level")).select(key, "level.*")
+    return documents.select(key, levels(F.col(text)).alias("level")).select(key, "level.*")
 
 
-def university(documents: DataFrame) -> DataFrame:
+def university(documents: DataFrame, odds: LanguageOdds | None = None) -> DataFrame:
     """Keys of the English documents whose prose demands university reading."""
-    return profile(documents).filter(F.col("english") & (F.col("grade") >= UNIVERSITY)).select("doc_id")
+    return profile(documents, odds=odds).filter(F.col("english") & (F.col("grade") >= UNIVERSITY)).select("doc_id")
