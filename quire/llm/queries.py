@@ -48,13 +48,17 @@ def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
     return splits.split_samples(table(spark, folder, "samples"))
 
 
+def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(spread(table(spark, folder, "documents").select("doc_id", "text")))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    packed = packing.pack_documents(spread(table(spark, folder, "documents").select("doc_id", "text")))
-    return packed.filter("n_pieces > 1").select("doc_id").distinct()
+    """The documents that the packer had to place in several containers."""
+    return packing.oversized(p6_packed(spark, folder))
 
 
-def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack_documents(spread(table(spark, folder, "documents").select("doc_id", "text")))
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.report(p6_packed(spark, folder))
 
 
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -64,6 +68,7 @@ def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The sources of which the mix holds every copy it may, and is still below the target."""
     return mixing.mix_report(*_mixed(spark, folder)).filter("short").select("source")
 
 
@@ -91,7 +96,7 @@ def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_labels, p1_crops, p3_found, p3_paragraphs, p4_found, p4_splits, p6_found, p6_packed, p7_found, p7_mix, p7_report, p8_found, p8_levels)
+    f.__name__: f for f in (p1_found, p1_labels, p1_crops, p3_found, p3_paragraphs, p4_found, p4_splits, p6_found, p6_packed, p6_report, p7_found, p7_mix, p7_report, p8_found, p8_levels)
 }
 # Blanks as Python's str.strip knows them, and the ASCII form, in SQL.
 _BLANKS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -99,6 +104,9 @@ _ASCII = "translate(translate(translate(translate(text, '‘’‚‛', repeat(c
 for _wide, _letters in (("…", "..."), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
     _ASCII = f"replace({_ASCII}, '{_wide}', '{_letters}')"
 
+#: Sizes are clear of the limits of problems 6 and 7 by a wide margin, so that characters tell
+#: the same as tokens: 10,000 characters are more than 2,048 tokens and less than any text just
+#: beyond them has, and shares of sources in characters are their shares in tokens.
 SQL: dict[str, str] = {
     "p1_found": f"""
     WITH newest AS (SELECT id, arg_max(struct_pack(t := text, v := coalesce(verified, false)), written_at) AS l FROM labels GROUP BY id),
@@ -112,6 +120,12 @@ SQL: dict[str, str] = {
     UNION
     SELECT 'prepare_ocr', image FROM measured WHERE steps > 40 OR wide
     """,
+    "p6_found": "SELECT DISTINCT doc_id FROM documents WHERE length(text) > 10000",
+    "p7_found": """
+    WITH d AS (SELECT regexp_replace(lower(source), '^\s+|\s+$', '', 'g') AS source, sum(length(text)) AS n FROM documents GROUP BY 1)
+    SELECT t.source FROM mix_targets t LEFT JOIN d USING (source)
+    WHERE coalesce(d.n, 0) * t.max_repeats < t.target_share * (SELECT sum(length(text)) FROM documents)
+    """,
     "p4_found": """
     WITH RECURSIVE plain AS (
       SELECT id, split, regexp_extract(regexp_replace(translate(document_id, '０１２３４５６７８９．', '0123456789.'), '([0-9])[.]0+([^0-9.]|$)', '\\1\\2'), '[0-9]+') AS n,

@@ -78,6 +78,14 @@ def test_no_prose_no_grade():
     assert reading.read_level(SPANISH * 3)[3] is False
 
 
+def test_hard_words():
+    hard = lambda w: reading.is_hard(w.split("-"))
+    assert hard("sociology") and hard("reality") and not hard("reading") and not hard("visiting") and not hard("expresses") and not hard("created-ending")
+    # names are hard for nobody, whatever their syllables
+    assert reading._hard_names("the Amerigonian men met in Amerigonia".split()) == 2
+    assert reading._hard_names("Sociology AND SOCIOLOGY".split()) == 0
+
+
 SYLLABLES = (
     "cat:1 table:2 reading:2 idea:3 sociological:6 stopped:1 wanted:2 horses:2 rationalisation:6 the:1 makes:1 station:2 people:2 being:2 studying:3 quiet:2 science:2 society:4 variety:4 language:2 question:2 actual:3 "
     "museum:3 geology:4 medium:3 beyond:2 statement:2 element:3 surely:2 careless:2 creation:3 real:2 heterogeneity:7 epistemological:7 necessitates:4 called:1 needed:2 changes:2 boxes:2 churches:2 names:1 poem:2 chaos:2 "
