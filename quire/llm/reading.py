@@ -41,7 +41,7 @@ OWN_SENTENCES = 3
 #: Share of function words from which a sentence is prose rather than a list of terms.
 PROSE_SHARE = 0.12
 #: Labelled rows on which the trigram odds are fitted: at most so many for each of English and not.
-LABELLED_ROWS = 2_000
+LABELLED_ROWS = 500
 CACHE_LIMIT = 500_000
 #: Bits of a packed field; no sentence has more letters than that.
 FIELD = 40
@@ -80,33 +80,40 @@ _BLOCKS = re.compile(r"\n\s*\n")
 _CONSONANT_Y = re.compile(r"(?:^|(?<=[aeiou]))y(?=[aeiou])")
 
 
-def _compiled(pattern: str) -> tuple[re.Pattern, list[tuple[int, int]]]:
-    """A pattern as an expression that finds overlapping places, and its (offset, level)s."""
-    levels, body, at = [], "", 0
-    for c in pattern:
-        if c.isdigit():
-            levels.append((at, int(c)))
-            continue
-        body += {"V": "[aeiouy]", "C": "[b-df-hj-np-tv-xz]", ".": r"\."}.get(c, c)
-        at += 1
-    return re.compile(f"(?={body})"), levels
+_LETTERS = {"V": "aeiouy", "C": "bcdfghjklmnpqrstvwxz"}
+
+
+def _expanded(patterns: list[str]) -> dict[str, list[tuple[int, int]]]:
+    """Letters -> the (offset, level)s they set, for all letters that V and C stand for."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for pattern in patterns:
+        levels, bodies = [], [""]
+        for c in pattern:
+            if c.isdigit():
+                levels.append((len(bodies[0]), int(c)))
+            else:
+                bodies = [b + x for b in bodies for x in _LETTERS.get(c, c)]
+        for body in bodies:
+            out.setdefault(body, []).extend(levels)
+    return out
 
 
-_PATTERNS = [_compiled(p) for p in PATTERNS]
+_LEVELS = _expanded(PATTERNS)
+_LONGEST = max(map(len, _LEVELS))
 _VOWEL = re.compile("[aeiouy]")
 
 
 def hyphenate(word: str) -> list[str]:
     """The parts of a lower-case word between the breaks that PATTERNS give; every part has a
     vowel, so that their number is that of the syllables."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c))
+    plain = word.lower() if word.isascii() else "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c))
     plain = _CONSONANT_Y.sub("j", plain.replace("qu", "qw"))
     marked = f".{plain}."
     level = [0] * (len(marked) + 1)
-    for expression, places in _PATTERNS:
-        for m in expression.finditer(marked):
-            for off, n in places:
-                level[m.start() + off] = max(level[m.start() + off], n)
+    for i in range(len(marked)):
+        for j in range(i + 2, min(len(marked), i + _LONGEST) + 1):
+            for off, n in _LEVELS.get(marked[i:j], ()):
+                level[i + off] = max(level[i + off], n)
     parts, start = [], 1
     for i in range(2, len(marked) - 1):
         if level[i] % 2 and _VOWEL.search(marked, start, i) and _VOWEL.search(marked, i, len(marked) - 1):
@@ -187,10 +194,13 @@ def fit_language(documents: DataFrame, text: str = "text", label: str = "lang",
         drawn = F.pmod(F.xxhash64("_t"), F.lit(1_000_000))
         bar = F.when(F.col("_en"), F.lit(1e6 * rows / sizes[True])).otherwise(F.lit(1e6 * rows / sizes[False]))
         sample = known.filter(drawn < bar)
-        for r in sample.filter("_en").limit(rows).union(sample.filter("not _en").limit(rows)).toLocalIterator():
-            for word, n in Counter(_WORD.findall(r["_t"])).items():
+        words: dict[bool, Counter] = {True: Counter(), False: Counter()}
+        for r in sample.filter("_en").limit(rows).union(sample.filter("not _en").limit(rows)).collect():
+            words[r["_en"]].update(_WORD.findall(r["_t"]))
+        for side, seen in words.items():
+            for word, n in seen.items():
                 for t in _trigrams(word):
-                    counts[r["_en"]][t] += n
+                    counts[side][t] += n
     return LanguageOdds(dict(counts[True]), dict(counts[False]))
 
 
