@@ -106,7 +106,9 @@ def records(content: str | None) -> Iterator[tuple[int, bytes, str]]:
 
 
 def open_folder(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    """The file system of a path and the path in it. Paths without a scheme are those of the
+    machine; the scratch folder's always have one."""
+    return pafs.FileSystem.from_uri(folder)
 
 
 def packed_splits(spark: SparkSession, path: str, tasks: int | None = None, open_cost: int = 64 * 1024) -> DataFrame:

@@ -24,12 +24,17 @@ def running_total(
     """Add `out`: the sum of `value` over the rows of the group up to and with this one,
     in the order of (bin_col, *order). Nulls in `value` count as 0. `order` must break
     ties; rows equal in all of it get an arbitrary order among themselves."""
+    return running_totals(df, {out: value}, bin_col, order, group)
+
+
+def running_totals(df: DataFrame, values: dict[str, str], bin_col: str, order: list[str], group: list[str] | None = None) -> DataFrame:
+    """The same for several values at once: name of the total -> value."""
     group = group or []
-    amount = F.coalesce(F.col(value), F.lit(0))
-    totals = df.groupBy(*group, bin_col).agg(F.sum(amount).alias("_bin_total"))
+    amount = {out: F.coalesce(F.col(v), F.lit(0)) for out, v in values.items()}
+    totals = df.groupBy(*group, bin_col).agg(*[F.sum(a).alias(f"_of_{out}") for out, a in amount.items()])
     before = Window.partitionBy(*group).orderBy(bin_col).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*group, bin_col, F.coalesce(F.sum("_bin_total").over(before), F.lit(0)).alias("_bin_start"))
+    starts = totals.select(*group, bin_col, *[F.coalesce(F.sum(f"_of_{out}").over(before), F.lit(0)).alias(f"_at_{out}") for out in amount])
     inside = Window.partitionBy(*group, bin_col).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     keys = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*group, bin_col]]
-    joined = df.alias("a").join(starts.alias("b"), keys, "left").select("a.*", "b._bin_start")
-    return joined.withColumn(out, F.col("_bin_start") + F.sum(amount).over(inside)).drop("_bin_start")
+    joined = df.alias("a").join(starts.alias("b"), keys, "left").select("a.*", *[f"b._at_{out}" for out in amount])
+    return joined.withColumns({out: F.col(f"_at_{out}") + F.sum(a).over(inside) for out, a in amount.items()}).drop(*[f"_at_{out}" for out in amount])

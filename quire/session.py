@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -29,21 +30,33 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+#: Paths of the tables and folders made in a scratch folder, by application.
+_made: dict[str, list[str]] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set only where none is."""
+    """The folder named by spark.checkpoint.dir, with the scheme of its file system. Where none
+    is named a temporary one is set, but only in local mode: on a cluster the executors would
+    each write to a disk of their own."""
     context = spark.sparkContext
     folder = context.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
     if not folder:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         made = tempfile.mkdtemp(prefix="quire-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         folder = f"file://{made}"
         spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder.rstrip("/")
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    named = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/(?!/)", "file:///", named).rstrip("/")
 
 
 def new_scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path inside the scratch folder."""
-    return f"{scratch_dir(spark)}/quire-{label}-{uuid.uuid4().hex}"
+    """A fresh path inside the scratch folder; release() deletes what was written there."""
+    path = f"{scratch_dir(spark)}/quire-{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
@@ -60,6 +73,15 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
         delete_path(spark, name)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete everything this application has put into the scratch folder, and tell how many
+    paths that were. Results that haven't been read or written by then are lost."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        delete_path(spark, path)
+    return len(paths)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from quire.operators.running import hash_bin, running_total
+from quire.operators.running import hash_bin, running_total, running_totals
 
 
 def test_running_total_over_bins_and_groups(spark):
@@ -14,3 +14,10 @@ def test_running_total_over_bins_and_groups(spark):
             total += r["v"] or 0
             assert r["sum"] == total
     assert {r["bin"] for r in got} <= set(range(8))
+
+
+def test_several_totals_at_once(spark):
+    df = spark.createDataFrame([(i, i % 3, 1) for i in range(20)], "i int, v int, w int").withColumn("bin", (F.col("i") / 7).cast("int"))
+    got = sorted(running_totals(df, {"a": "v", "b": "w"}, "bin", ["i"]).collect(), key=lambda r: r["i"])
+    assert [r["b"] for r in got] == list(range(1, 21)) and got[-1]["a"] == sum(i % 3 for i in range(20))
+    assert running_totals(df.limit(0), {"a": "v"}, "bin", ["i"]).count() == 0
