@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm import cutting, mixing, packing, reading, scans, splits
+from quire.session import new_scratch
 from quire.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,12 +27,36 @@ def p1_crops(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The items that the splitter cut, by table."""
-    labels = p1_labels(spark, folder).filter("n_pieces > 1").select(F.lit("labels").alias("item_table"), F.col("id").alias("item_id"))
-    crops = p1_crops(spark, folder).filter("n_pieces > 1").select(F.lit("prepare_ocr").alias("item_table"), F.col("image").alias("item_id"))
+    """The items that the splitter cut, by table. Pieces' texts aren't read for it."""
+    labels = cutting.split_texts(cutting.current_labels(table(spark, folder, "labels")), "id", "text", LABEL_LIMIT, LABEL_OVERLAP, texts=False)
+    crops = cutting.split_crops(table(spark, folder, "prepare_ocr"), texts=False)
+    labels = labels.filter("n_pieces > 1").select(F.lit("labels").alias("item_table"), F.col("id").alias("item_id"))
+    crops = crops.filter("n_pieces > 1").select(F.lit("prepare_ocr").alias("item_table"), F.col("image").alias("item_id"))
     return labels.union(crops).distinct()
 
 
+def p1_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each current label: how far its pieces reach, whether they leave no gap and keep to
+    the limit and the overlap, and whether their texts are those of their places."""
+    pieces = p1_labels(spark, folder)
+    line = Window.partitionBy("id").orderBy("piece_no")
+    behind = F.lag("end").over(line)
+    joined = (F.col("start") <= F.coalesce(behind, F.lit(0))) & (F.coalesce(behind, F.lit(0)) - F.col("start") <= LABEL_OVERLAP)
+    fits = (F.col("end") - F.col("start") <= LABEL_LIMIT) & (F.length("piece") == F.col("end") - F.col("start"))
+    rows = pieces.withColumn("_ok", joined & fits & (F.col("piece_no") == F.row_number().over(line) - 1))
+    return rows.groupBy("id").agg(F.max("end").alias("n_chars"), F.bool_and("_ok").alias("sound"))
+
+
+def p1_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All label texts as large files, cut by byte range: the characters of all pieces, and
+    pieces beyond the limit."""
+    texts = new_scratch(spark, "files")
+    table(spark, folder, "labels").select(F.coalesce("text", F.lit("")).alias("text")).write.text(texts)
+    pieces = cutting.split_files(spark, f"{texts}/*.txt", LABEL_LIMIT, LABEL_OVERLAP)
+    ends = pieces.groupBy("path").agg(F.max("end").alias("n"), F.count_if(F.col("end") - F.col("start") > LABEL_LIMIT).alias("over"))
+    return ends.agg(F.sum("n").alias("n_chars"), F.sum("over").alias("over_limit"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return scans.Repairs(table(spark, folder, "ocr_lines"), table(spark, folder, "lexicon")).found()
 
@@ -96,7 +121,7 @@ def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_labels, p1_crops, p3_found, p3_paragraphs, p4_found, p4_splits, p6_found, p6_packed, p6_report, p7_found, p7_mix, p7_report, p8_found, p8_levels)
+    f.__name__: f for f in (p1_found, p1_labels, p1_crops, p1_cover, p1_files, p3_found, p3_paragraphs, p4_found, p4_splits, p6_found, p6_packed, p6_report, p7_found, p7_mix, p7_report, p8_found, p8_levels)
 }
 # Blanks as Python's str.strip knows them, and the ASCII form, in SQL.
 _BLANKS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -120,9 +145,14 @@ SQL: dict[str, str] = {
     UNION
     SELECT 'prepare_ocr', image FROM measured WHERE steps > 40 OR wide
     """,
+    "p1_cover": f"""
+    WITH newest AS (SELECT id, arg_max(struct_pack(t := text, v := coalesce(verified, false)), written_at) AS l FROM labels GROUP BY id)
+    SELECT id, coalesce(length(regexp_replace(l.t, '^{_BLANKS}+|{_BLANKS}+$', '', 'g')), 0) AS n_chars, true AS sound FROM newest WHERE l.v
+    """,
+    "p1_files": "SELECT sum(length(coalesce(text, '')) + 1)::BIGINT AS n_chars, 0::BIGINT AS over_limit FROM labels",
     "p6_found": "SELECT DISTINCT doc_id FROM documents WHERE length(text) > 10000",
     "p7_found": """
-    WITH d AS (SELECT regexp_replace(lower(source), '^\s+|\s+$', '', 'g') AS source, sum(length(text)) AS n FROM documents GROUP BY 1)
+    WITH d AS (SELECT regexp_replace(lower(source), '^\\s+|\\s+$', '', 'g') AS source, sum(length(text)) AS n FROM documents GROUP BY 1)
     SELECT t.source FROM mix_targets t LEFT JOIN d USING (source)
     WHERE coalesce(d.n, 0) * t.max_repeats < t.target_share * (SELECT sum(length(text)) FROM documents)
     """,
