@@ -3,12 +3,12 @@
 Files come as rows (key, content); the session's split packing (maximum partition bytes
 and file-open cost, set from the table's size) reads many of them into one task without
 an exchange. Each task cuts its contents into records and writes them, in their bytes,
-to staged packs of a target size; what it returns is a manifest: one small row a record
-with its 128-bit identity and place. Only the manifest is exchanged, to find records that
-occur more than once. Packs that hold a later copy are rewritten without it, small packs
-are joined, and counts are verified before the packs count as published. A task that is
-run again writes packs of new names; packs that no manifest row names don't exist for
-the reader.
+to staged packs; what it returns is a manifest: one small row a record with its 128-bit
+identity and place. Only the manifest is exchanged, to find records that occur more than
+once. Staged packs are coalesced, later copies left out, into files of the wanted size;
+these are read back and verified record by record against the manifest, and only then
+moved to where readers look, under names that a repeated move can't double. What failed or
+repeated attempts left behind is deleted with the staged packs.
 
 Staging needs a folder that every executor can write: the session's scratch folder.
 """
@@ -28,13 +28,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.operators.running import hash_bin, running_total
-from quire.session import new_scratch, settle
+from quire.session import delete_path, discard, new_scratch, settle
 
+#: Bytes of records in a staged pack, in a published one at most, and in what one task coalesces.
 TARGET_BYTES = 768 * 1024
-LEAST_BYTES = 128 * 1024
 MOST_BYTES = 1024 * 1024
-#: Staged packs are compressed; published ones are the plain records.
-STAGED = "zstd"
+UNIT_BYTES = 8 * 1024 * 1024
+#: Staged packs are compressed, and so are published ones: as plain records they have up to
+#: MOST_BYTES, in the folder a sixth to a half of it, in a form that any reader of text knows.
+STAGED, PUBLISHED = "zstd", "gzip"
+#: Manifest rows that leave a task at once.
+MANIFEST_ROWS = 20_000
 
 MANIFEST = T.StructType(
     [
@@ -140,15 +144,18 @@ def stage_packs(files: DataFrame, key: str, content: str, folder: str, target: i
         places: dict[bytes, int] = {}
         size, name = 0, f"{uuid.uuid4().hex}.jsonl"
 
-        def flush() -> pa.RecordBatch:
-            nonlocal rows, lines, places, size, name
-            with system.open_output_stream(f"{base}/{name}") as out, pa.CompressedOutputStream(out, STAGED) as packed:
+        def flush() -> None:
+            nonlocal lines, places, size, name
+            with system.open_output_stream(f"{base}/{name}", compression=STAGED) as packed:
                 packed.write(b"".join(lines))
-            cols = list(zip(*rows))
+            lines, places, size, name = [], {}, 0, f"{uuid.uuid4().hex}.jsonl"
+
+        def told() -> pa.RecordBatch:
+            nonlocal rows
+            cols = list(zip(*rows)) or [()] * len(MANIFEST)
             kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.string(), pa.int32())
-            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=MANIFEST.names)
-            rows, lines, places, size, name = [], [], {}, 0, f"{uuid.uuid4().hex}.jsonl"
-            return batch
+            rows = []
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=MANIFEST.names)
 
         for batch in batches:
             for file_key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -156,87 +163,181 @@ def stage_packs(files: DataFrame, key: str, content: str, folder: str, target: i
                     if identity not in places:
                         data = line.encode("utf-8", "surrogatepass") + b"\n"
                         if size and size + len(data) > target:
-                            yield flush()
+                            flush()
                         places[identity] = len(lines)
                         lines.append(data)
                         size += len(data)
                     at = places[identity]
                     rows.append((file_key, no, identity, len(lines[at]), name, at))
+                    # A task of copies of one record writes little and still tells much.
+                    if len(rows) >= MANIFEST_ROWS:
+                        yield told()
+        if lines:
+            flush()
         if rows:
-            yield flush()
+            yield told()
 
     return settle(files.select(key, content).mapInArrow(write, MANIFEST), "manifest")
 
 
+def shared_records(manifest: DataFrame) -> DataFrame:
+    """(identity, file_key) of the records that more than one file holds, kept in the scratch
+    folder."""
+    held = manifest.select("identity", "file_key").distinct()
+    several = held.groupBy("identity").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("identity")
+    return settle(held.join(several, "identity", "left_semi"), "shared")
+
+
+def sharing_members(manifest: DataFrame) -> DataFrame:
+    """(representative, file_key): each file that holds a record of several files, with the
+    smallest key of that record's files. Linear in the files, whatever the number of copies."""
+    held = shared_records(manifest)
+    first = held.groupBy("identity").agg(F.min("file_key").alias("representative"))
+    return held.join(first, "identity").select("representative", "file_key").distinct()
+
+
 def sharing_pairs(manifest: DataFrame) -> DataFrame:
     """(asset_a, asset_b) with a < b: keys of files that hold a same record. Every pair is
     asked for, so a record in n files gives n(n-1)/2 rows; only files that share one are
     ever brought together, and a record of many files is joined by as many tasks as the
-    skew join makes of it."""
-    held = manifest.select("identity", "file_key").distinct()
-    several = held.groupBy("identity").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("identity")
-    held = settle(held.join(several, "identity", "left_semi"), "shared")
+    skew join makes of it. sharing_members() says the same in n rows."""
+    held = shared_records(manifest)
     a, b = held.withColumnRenamed("file_key", "asset_a"), held.withColumnRenamed("file_key", "asset_b")
     return a.join(b, "identity").filter("asset_a < asset_b").select("asset_a", "asset_b").distinct()
 
 
-def consolidate(files: DataFrame, key: str, content: str, out: str, least: int = LEAST_BYTES, most: int = MOST_BYTES) -> DataFrame:
-    """Write every whole record of `files` exactly once to packs in `out`; returns
-    (pack, n_records, n_bytes) of the published packs.
+PACK = T.StructType([T.StructField(n, t) for n, t in (("name", T.StringType()), ("pack", T.StringType()), ("n_records", T.LongType()), ("n_bytes", T.LongType()))])
+READ = T.StructType([*PACK, T.StructField("stored_bytes", T.LongType()), T.StructField("identities", T.ArrayType(T.LongType()))])
 
-    Of copies the one in the smallest (pack, place) stays. Packs are
-    rewritten without later copies, neighbours together, as files of about the middle of
-    `least` and `most`. Raises if what was written isn't what the
-    manifest holds. Empty input gives no packs.
-    """
-    spark = files.sparkSession
-    staged = new_scratch(spark, "packs")
-    manifest = stage_packs(files, key, content, staged)
+
+def _columns(rows: list[tuple], schema: T.StructType) -> pa.Table:
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64())}
+    cols = list(zip(*rows)) or [()] * len(schema)
+    return pa.table([pa.array(c, kinds[f.dataType.simpleString()]) for c, f in zip(cols, schema)], names=schema.names)
+
+
+def identity_number(identity: bytes) -> int:
+    """The first 63 bits of an identity, of which sums tell sets of records apart."""
+    return int.from_bytes(identity[:8], "big") >> 1
+
+
+def coalesce_packs(manifest: DataFrame, staged: str, out: str, most: int = MOST_BYTES) -> DataFrame:
+    """Join staged packs, without later copies of a record, into files in `out` of at most
+    `most` bytes of records; returns PACK rows of what the tasks wrote: the file's `name`
+    there, and the name it is to have (`pack`), which follows from its place alone."""
     spots = manifest.groupBy("identity").agg(F.min(F.struct("pack", "place", "n_bytes")).alias("keep")).select("identity", "keep.*")
-    packs = spots.groupBy("pack").agg(F.collect_list("place").alias("places"), F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("bytes"))
-    # Joined packs: a running total of bytes inside hash bins, cut at the middle size.
-    total, count = spots.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count(F.lit(1))).first()
-    bins = max(1, int(total // (64 * most)))
+    packs = spots.groupBy("pack").agg(F.collect_list("place").alias("places"), F.sum("n_bytes").alias("bytes"))
+    packs = settle(packs, "packs")
+    # Units of packs: a running total of bytes inside hash bins, cut at an even size.
+    total = packs.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    bins = max(1, int(total // (64 * UNIT_BYTES)))
     packs = packs.withColumn("_hash", F.xxhash64("pack")).withColumn("_bin", hash_bin(F.col("_hash"), bins))
     summed = running_total(packs, "bytes", "_bin", ["_hash", "pack"], "_sum")
-    size = total / max(1, round(2 * total / (least + most))) or 1
-    joined = settle(summed.withColumn("unit", F.floor((F.col("_sum") - F.col("bytes") / 2) / size)), "units").select("unit", "pack", "places", "bytes")
-    joined = joined.withColumn("bytes", F.col("bytes").cast("bigint"))
-
-    kinds = T.StructType([T.StructField("pack", T.StringType()), T.StructField("n_records", T.LongType()), T.StructField("n_bytes", T.LongType())])
+    size = total / max(1, round(total / UNIT_BYTES)) or 1
+    units = settle(summed.withColumn("unit", F.floor((F.col("_sum") - F.col("bytes") / 2) / size)), "units").select("unit", "pack", "places", F.col("bytes").cast("bigint"))
 
     def rewrite(rows: pa.Table) -> pa.Table:
         source, base = open_folder(staged)
         system, target = open_folder(out)
         system.create_dir(target, recursive=True)
-        done, lines, size = [], [], 0
-        whole_size = sum(rows["bytes"].to_pylist())
-        limit = whole_size / -(-whole_size // most)  # equal parts, each within `most`
+        unit = rows["unit"][0].as_py()
+        done: list[tuple] = []
+        lines, held = [], 0
+        whole = sum(rows["bytes"].to_pylist())
+        even = whole / -(-whole // (0.95 * most))  # equal parts, each within `most`
 
         def flush() -> None:
-            nonlocal lines, size
-            name = f"{uuid.uuid4().hex}.jsonl"
-            with system.open_output_stream(f"{target}/{name}") as stream:
-                stream.write(b"".join(lines))
-            done.append((name, len(lines), size))
-            lines, size = [], 0
+            nonlocal lines, held
+            name = f"{uuid.uuid4().hex}.jsonl.gz"
+            with system.open_output_stream(f"{target}/{name}", compression=PUBLISHED) as packed:
+                packed.write(b"".join(lines))
+            done.append((name, f"pack-{unit:09d}-{len(done):04d}.jsonl.gz", len(lines), held))
+            lines, held = [], 0
 
         for pack, places in sorted(zip(rows["pack"].to_pylist(), rows["places"].to_pylist())):
             with source.open_input_stream(f"{base}/{pack}", compression=STAGED) as stream:
-                whole = stream.read().split(b"\n")
+                found = stream.read().split(b"\n")
             for p in sorted(places):
-                data = whole[p] + b"\n"
-                lines.append(data)
-                size += len(data)
-                if size >= limit:
+                data = found[p] + b"\n"
+                if lines and (held >= even or held + len(data) > most):
                     flush()
+                lines.append(data)
+                held += len(data)
         if lines:
             flush()
-        cols = list(zip(*done)) or [(), (), ()]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64()))], names=kinds.names)
-
-    published = settle(joined.groupBy("unit").applyInArrow(rewrite, kinds), "published")
-    written = published.agg(F.coalesce(F.sum("n_records"), F.lit(0)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
-    if tuple(written) != (count, total):
-        raise RuntimeError(f"packs hold {written[0]} records and {written[1]} bytes, the manifest {count} and {total}")
-    return published
+        return _columns(done, PACK)
+
+    return settle(units.groupBy("unit").applyInArrow(rewrite, PACK), "coalesced")
+
+
+def read_back(packs: DataFrame, folder: str, name: str = "name") -> DataFrame:
+    """READ rows: what files of `packs` in `folder` hold when they are read again."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = open_folder(folder)
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                with system.open_input_stream(f"{base}/{row[name]}", compression=PUBLISHED) as stream:
+                    data = stream.read()
+                found = [canonical(line) for line in data.decode("utf-8", "surrogatepass").split("\n")[:-1]]
+                if None in found:
+                    raise RuntimeError(f"{row[name]} holds a broken record")
+                out.append((row["name"], row["pack"], len(found), len(data), system.get_file_info(f"{base}/{row[name]}").size, list(map(identity_number, found))))
+            yield from _columns(out, READ).to_batches()
+
+    return packs.repartition(max(1, packs.sparkSession.sparkContext.defaultParallelism), "pack").mapInArrow(read, READ)
+
+
+def verify(manifest: DataFrame, read: DataFrame) -> None:
+    """Raise unless the files read back hold each record of the manifest exactly once: their
+    number, their number of different ones per file and the sum of their identities."""
+    number = F.conv(F.hex(F.substring("identity", 1, 8)), 16, 10).cast("decimal(20,0)")
+    half = F.floor(number / 2).cast("decimal(38,0)")
+    want = manifest.select("identity").distinct().agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(half), F.lit(0).cast("decimal(38,0)")).alias("s")).first()
+    each = F.aggregate("identities", F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x).cast("decimal(38,0)"))
+    zero = F.lit(0).cast("decimal(38,0)")
+    got = read.agg(F.coalesce(F.sum(F.size("identities")), F.lit(0)).alias("n"), F.coalesce(F.sum(each), zero).alias("s"), F.coalesce(F.sum(F.size(F.array_distinct("identities"))), F.lit(0)).alias("d")).first()
+    if (got["n"], got["s"]) != (want["n"], want["s"]) or got["d"] != got["n"]:
+        raise RuntimeError(f"packs hold {got['n']} records, {got['d']} different ones in their files, the manifest {want['n']}; sums {got['s']} and {want['s']}")
+
+
+def publish(packs: DataFrame, folder: str, out: str) -> None:
+    """Move files from `folder` to `out`, each under its own name. A move that is run again
+    finds its file there and does nothing."""
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, base = open_folder(folder)
+        system, target = open_folder(out)
+        system.create_dir(target, recursive=True)
+        for batch in batches:
+            for name, pack in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if source.get_file_info(f"{base}/{name}").type == pafs.FileType.File:
+                    system.move(f"{base}/{name}", f"{target}/{pack}")
+                elif system.get_file_info(f"{target}/{pack}").type != pafs.FileType.File:
+                    raise RuntimeError(f"{name} is neither staged nor published")
+            yield batch
+
+    packs.select("name", "pack").mapInArrow(move, "name string, pack string").write.format("noop").mode("overwrite").save()
+
+
+def consolidate(files: DataFrame, key: str, content: str, out: str, most: int = MOST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Write every whole record of `files` exactly once to packs in `out`, which must not hold
+    any yet; returns the published packs (pack, n_records, n_bytes of records, stored_bytes)
+    and the manifest of all records.
+
+    Of copies the one in the smallest (pack, place) stays. Raises, and publishes nothing, if
+    the packs read back don't hold just what the manifest holds. Empty input gives no packs.
+    """
+    spark = files.sparkSession
+    staged, joined = new_scratch(spark, "packs"), new_scratch(spark, "joined")
+    manifest = stage_packs(files, key, content, staged)
+    packs = coalesce_packs(manifest, staged, joined, most)
+    read = settle(read_back(packs, joined), "readback")
+    verify(manifest, read)
+    publish(packs, joined, out)
+    for path in (staged, joined):
+        delete_path(spark, path)
+    done = settle(read.select("pack", "n_records", "n_bytes", "stored_bytes"), "published")
+    discard(spark, read)
+    return done, manifest

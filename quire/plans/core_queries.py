@@ -11,7 +11,7 @@ from quire.plans import assets, decoding, layouts, pages, records, words
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (pages.p2_found, pages.p2_pages, pages.p2_lines, pages.p2_sources, pages.p2_crops, assets.p5_found, assets.p5_packs)
+    f.__name__: f for f in (pages.p2_found, pages.p2_pages, pages.p2_lines, pages.p2_sources, pages.p2_crops, assets.p5_found, assets.p5_packs, assets.p5_members, assets.p5_totals)
 }
 SQL: dict[str, str] = dict(assets.SQL)
 for module in (records, words, decoding, layouts):

@@ -1,8 +1,9 @@
 import json
 
+import pyarrow.fs as pafs
 import pytest
 
-from quire.operators.compact import canonical, consolidate, open_folder, records, sharing_pairs, stage_packs
+from quire.operators.compact import canonical, coalesce_packs, consolidate, open_folder, publish, read_back, records, sharing_members, sharing_pairs, stage_packs, verify
 from quire.session import new_scratch
 
 
@@ -29,18 +30,70 @@ def files(spark):
     return spark.createDataFrame(rows, "file_key long, body string")
 
 
+def held_in(folder):
+    system, base = open_folder(folder)
+    out = {}
+    for f in system.get_file_info(pafs.FileSelector(base)):
+        with system.open_input_stream(f.path, compression="gzip") as stream:
+            out[f.base_name] = stream.read()
+    return out
+
+
 def test_every_record_once(spark, files):
     out = new_scratch(spark, "test")
-    packs = consolidate(files, "file_key", "body", out, least=2_000, most=4_000).collect()
-    system, base = open_folder(out)
+    done, manifest = consolidate(files, "file_key", "body", out, most=4_000)
+    packs = {p["pack"]: p for p in done.collect()}
+    held = held_in(out)
+    assert held.keys() == packs.keys()
     seen = []
-    for p in packs:
-        with system.open_input_stream(f"{base}/{p['pack']}") as f:
-            data = f.read()
-        assert len(data) == p["n_bytes"] and data.count(b"\n") == p["n_records"]
+    for name, data in held.items():
+        assert len(data) == packs[name]["n_bytes"] and data.count(b"\n") == packs[name]["n_records"]
         seen += [json.loads(x)["i"] for x in data.decode().splitlines()]
-    assert sorted(seen) == list(range(301))
-    assert all(p["n_bytes"] >= 1_000 for p in packs) and max(p["n_bytes"] for p in packs) < 4_200
+    assert sorted(seen) == list(range(301)) and manifest.count() == 900
+    sizes = [p["n_bytes"] for p in packs.values()]
+    assert max(sizes) <= 4_000 and min(sizes) >= 1_000
+    # any reader of text reads them
+    assert spark.read.text(out).count() == 301
+
+
+def test_repeated_attempts_leave_no_copies(spark, files):
+    """Files of other attempts stay behind in the staging folder, moves may run twice."""
+    staged, joined, out = (new_scratch(spark, k) for k in ("a", "b", "c"))
+    manifest = stage_packs(files, "file_key", "body", staged)
+    packs = coalesce_packs(manifest, staged, joined, 4_000)
+    coalesce_packs(manifest, staged, joined, 4_000)
+    read = read_back(packs, joined)
+    verify(manifest, read)
+    assert len(held_in(joined)) == 2 * packs.count()
+    publish(packs, joined, out)
+    publish(packs, joined, out)
+    held = held_in(out)
+    assert len(held) == packs.count() and sum(d.count(b"\n") for d in held.values()) == 301
+    system, base = open_folder(joined)
+    with pytest.raises(Exception, match="neither staged nor published"):
+        publish(packs.limit(1), joined, new_scratch(spark, "d"))
+
+
+def test_broken_packs_are_not_published(spark, files):
+    staged, joined = (new_scratch(spark, k) for k in ("a", "b"))
+    manifest = stage_packs(files, "file_key", "body", staged)
+    packs = coalesce_packs(manifest, staged, joined, 4_000)
+    name = packs.first()["name"]
+    system, base = open_folder(joined)
+    whole = held_in(joined)[name]
+    for damaged in (whole.split(b"\n", 1)[1], whole + whole.split(b"\n", 1)[0] + b"\n", whole[:-5] + b"\n", whole.replace(b"xxxx", b"xxxy", 1)):
+        with system.open_output_stream(f"{base}/{name}", compression="gzip") as z:
+            z.write(damaged)
+        with pytest.raises(Exception, match="packs hold|broken record"):
+            verify(manifest, read_back(packs, joined))
+
+
+def test_copies_of_one_record_leave_a_task_in_parts(spark):
+    same = spark.createDataFrame([(k, '{"i": 1}\n' * 50) for k in range(1_000)], "file_key long, body string").coalesce(1)
+    manifest = stage_packs(same, "file_key", "body", new_scratch(spark, "test"))
+    assert manifest.count() == 50_000 and manifest.select("pack", "place").distinct().count() == 1
+    members = {tuple(r) for r in sharing_members(manifest).collect()}
+    assert members == {(0, k) for k in range(1_000)}
 
 
 def test_pairs_match_brute_force(spark, files):
@@ -55,5 +108,5 @@ def test_pairs_match_brute_force(spark, files):
 
 def test_no_files(spark, files):
     empty = files.limit(0)
-    assert consolidate(empty, "file_key", "body", new_scratch(spark, "test")).count() == 0
+    assert [t.count() for t in consolidate(empty, "file_key", "body", new_scratch(spark, "test"))] == [0, 0]
     assert sharing_pairs(stage_packs(empty, "file_key", "body", new_scratch(spark, "test"))).count() == 0
