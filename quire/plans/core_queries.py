@@ -11,9 +11,9 @@ from quire.plans import assets, decoding, layouts, pages, records, words
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (pages.p2_found, pages.p2_pages, pages.p2_lines, pages.p2_sources, pages.p2_crops, assets.p5_found, assets.p5_packs, assets.p5_members, assets.p5_totals)
+    f.__name__: f for f in (pages.p2_found, pages.p2_pages, pages.p2_rows, pages.p2_lines, pages.p2_sources, pages.p2_crops, pages.p2_counts, assets.p5_found, assets.p5_packs, assets.p5_members, assets.p5_totals)
 }
-SQL: dict[str, str] = dict(assets.SQL)
+SQL: dict[str, str] = assets.SQL | pages.SQL
 for module in (records, words, decoding, layouts):
     QUERIES |= {f.__name__: f for f in module.ALL}
     SQL |= module.SQL

@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.operators.shred import content_key, fit, from_json_forms, parse, record_key, shred
+from quire.operators.shred import GROUP, content_hash, fit, from_json_forms, parse, place_of, record_key, schema_graph, shred
 
 S, F_ = T.StringType(), T.StructField
 SOURCE = T.StructType([F_("name", S), F_("view", S)])
@@ -51,11 +51,12 @@ def test_shred_makes_linked_tables(spark):
 
 def test_shred_inlines_structs_and_keeps_clashing_names(spark):
     df = spark.createDataFrame([(1, (2, ("z",)), [(5, [(6,)])])], "record_key int, a struct<b:int,c:struct<d:string>>, lines array<struct<lines_no:int,items:array<struct<v:int>>>>")
-    t = shred(df, content_key(df))
+    t = shred(df, content_hash(df).cast("string"))
     assert t["records"].columns == ["record_key", "record_key_value", "a_b", "a_c_d"]
     assert t["lines"].columns == ["record_key", "lines_no", "lines_no_value"]
     assert t["items"].first()["v"] == 6
-    empty = shred(df.limit(0), content_key(df))
+    assert t["records"].first()["record_key_value"] == 1
+    empty = shred(df.limit(0), content_hash(df).cast("string"))
     assert all(x.count() == 0 for x in empty.values())
 
 
@@ -63,3 +64,87 @@ def test_json_column(spark):
     df = spark.createDataFrame([('{"page": {"id": "x", "lines": {"a": {"order": 1.0}}}}',), (None,), ("nonsense",)], "payload string")
     got = df.select(from_json_forms(F.col("payload"), RECORD, KEYS).alias("r")).collect()
     assert got[0]["r"]["lines"][0]["order"] == 1 and got[1]["r"] is None and got[2]["r"] is None
+
+
+NOTE = "struct<by:string,said:string>"
+BOOK = f"id string, author struct<name:string,town:struct<zip:string>>, notes array<{NOTE}>, cover struct<notes:array<{NOTE}>,seal:struct<mark:string>>, sections array<struct<title:string,seal:struct<mark:string>,notes:array<{NOTE}>,sections:array<struct<title:string,pages:int,sections:array<struct<title:string,pages:int>>>>>>"
+
+
+def test_the_graph_knows_shared_and_recursive_elements(spark):
+    schema = spark.createDataFrame([], BOOK).schema
+    elements, at = schema_graph(schema, "books")
+    assert elements["notes"].parents == {"books", "cover", "sections"} and elements["notes"].shared and elements["notes"].tabled
+    assert elements["sections"].recursive and elements["sections"].parents == {"books", "sections"}
+    assert elements["seal"].parents == {"cover", "sections"} and elements["seal"].tabled and not elements["seal"].repeated
+    assert not elements["author"].tabled and not elements["town"].tabled and not elements["cover"].tabled
+    assert at["sections", "sections", "sections"] == "sections"
+    # one name, unlike fields: an element of its own
+    odd = spark.createDataFrame([], "a struct<x:array<struct<v:int>>>, x array<struct<v:string>>").schema
+    assert set(schema_graph(odd, "r")[0]) == {"r", "a", "x", "r_x"}
+
+
+def books():
+    note = lambda k: (f"by{k}", f"said{k}")
+    deep = [("1.1", 3, [("1.1.1", 1), ("1.1.2", 2)]), ("1.2", None, [])]
+    return [
+        ("b1", ("ann", ("0815",)), [note(0), note(1)], ([note(2)], ("wax",)), [("1", ("ink",), [note(3)], deep), ("2", None, None, None)]),
+        ("b2", None, None, None, []),
+        ("b3", (None, None), [None], (None, None), [("1", (None,), [], [("1.1", 1, None)])]),
+        ("b2", None, None, None, []),
+    ]
+
+
+def test_shared_elements_have_one_table_and_records_can_be_rebuilt(spark):
+    """An element under several parents, one that holds itself, and an exact round trip."""
+    df = spark.createDataFrame(books()[:3], BOOK)
+    t = shred(df, F.col("id"), "books", "book", carry={"books": ["id"]})
+    assert set(t) == {"books", "notes", "seal", "sections"}
+    assert t["books"].columns == ["book", "id", "author_name", "author_town_zip"]
+    assert t["notes"].columns == ["book", "notes_in", "notes_at", "notes_no", "id", "by", "said"]
+    got = {k: [r.asDict() for r in v.collect()] for k, v in t.items()}
+    assert {r["notes_in"] for r in got["notes"]} == {"books", "cover", "sections"} and {r["sections_in"] for r in got["sections"]} == {"books", "sections"}
+    assert all(r["id"] == r["book"] for k in got for r in got[k])
+
+    def below(table, book, inside, at):
+        rows = [r for r in got[table] if (r["book"], r[f"{table}_in"], r[f"{table}_at"]) == (book, inside, at)]
+        return sorted(rows, key=lambda r: r[f"{table}_no"])
+
+    def sections(book, inside, at):
+        out = []
+        for r in below("sections", book, inside, at):
+            here = "/".join(filter(None, [at, f"sections:{r['sections_no']}"]))
+            out.append((r["title"], r["pages"], [s["mark"] for s in below("seal", book, "sections", here)], [(n["by"], n["said"]) for n in below("notes", book, "sections", here)], sections(book, "sections", here)))
+        return out
+
+    def plain(x, depth):
+        title, rest = x[0], x[1:]
+        if depth == 0:
+            seal, notes, inner = rest
+            return (title, None, [seal[0]] if seal else [], list(notes or []), [plain(i, 1) for i in inner or []])
+        return (title, rest[0], [], [], [plain(i, 2) for i in (rest[1] if depth == 1 else None) or []])
+
+    for b in books()[:3]:
+        book = b[0]
+        assert sections(book, "books", "") == [plain(x, 0) for x in b[4]]
+        (row,) = [r for r in got["books"] if r["book"] == book]
+        assert (row["author_name"], row["author_town_zip"]) == ((b[1] or (None, None))[0], ((b[1] or (None, None))[1] or (None,))[0])
+        for parent, want in (("books", b[2]), ("cover", (b[3] or [None])[0])):
+            assert [(n["by"], n["said"]) for n in below("notes", book, parent, "")] == [n or (None, None) for n in want or []]
+        assert [s["mark"] for s in below("seal", book, "cover", "")] == ([b[3][1][0]] if b[3] and b[3][1] else [])
+    # rows of shared children find their parents by place
+    keyed = t["sections"].withColumn("at", place_of("sections", ["sections_in", "sections_at", "sections_no"]))
+    assert t["notes"].filter("notes_in = 'sections'").join(keyed, (F.col("notes_at") == F.col("at")) & (t["notes"]["book"] == keyed["book"])).count() == 1
+
+
+def test_groups_of_lines_keep_their_place():
+    kind = T.StructType([F_("line_id", S), F_("column_no", T.IntegerType()), F_(GROUP, S)])
+    record = T.StructType([F_("id", S), F_("lines", T.ArrayType(kind))])
+    payload = {"id": "x", "lines": [{"line_id": "a"}, {"column_no": 1, "lines": [{"line_id": "b"}, {"column_no": 2, "lines": {"c": {}, "d": {}}}]}]}
+    got = [(x["line_id"], x["column_no"], x[GROUP]) for x in parse(json.dumps(payload), record, {"lines": "line_id"})["lines"]]
+    assert got == [("a", None, None), ("b", 1, "1"), ("c", 2, "1/1"), ("d", 2, "1/1")]
+
+
+def test_records_of_one_key_and_other_content_stay_apart(spark):
+    df = spark.createDataFrame([("x", {"a": "1", "b": "2"}, [(1, {"k": 1})]), ("x", {"b": "2", "a": "1"}, [(1, {"k": 1})]), ("x", {"a": "1"}, [(1, {"k": 1})]), ("x", {"a": "1"}, [(1, {"k": 2})]), (None, None, None)], "id string, m map<string,string>, l array<struct<v:int,n:map<string,int>>>")
+    got = [r[0] for r in df.select(content_hash(df)).collect()]
+    assert got[0] == got[1] and len(set(got)) == 4
