@@ -43,7 +43,7 @@ MANIFEST_ROWS = 20_000
 MANIFEST = T.StructType(
     [
         T.StructField("file_key", T.LongType()), T.StructField("record_no", T.IntegerType()), T.StructField("identity", T.BinaryType()),
-        T.StructField("n_bytes", T.IntegerType()), T.StructField("pack", T.StringType()), T.StructField("place", T.IntegerType()),
+        T.StructField("n_bytes", T.IntegerType()), T.StructField("pack", T.StringType()), T.StructField("place", T.IntegerType()), T.StructField("line_hash", T.LongType()),
     ]
 )
 
@@ -141,7 +141,7 @@ def stage_packs(files: DataFrame, key: str, content: str, folder: str, target: i
         system.create_dir(base, recursive=True)
         rows: list[tuple] = []
         lines: list[bytes] = []
-        places: dict[bytes, int] = {}
+        places: dict[bytes, tuple[int, int]] = {}
         size, name = 0, f"{uuid.uuid4().hex}.jsonl"
 
         def flush() -> None:
@@ -153,7 +153,7 @@ def stage_packs(files: DataFrame, key: str, content: str, folder: str, target: i
         def told() -> pa.RecordBatch:
             nonlocal rows
             cols = list(zip(*rows)) or [()] * len(MANIFEST)
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.string(), pa.int32())
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.string(), pa.int32(), pa.int64())
             rows = []
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=MANIFEST.names)
 
@@ -164,11 +164,11 @@ def stage_packs(files: DataFrame, key: str, content: str, folder: str, target: i
                         data = line.encode("utf-8", "surrogatepass") + b"\n"
                         if size and size + len(data) > target:
                             flush()
-                        places[identity] = len(lines)
+                        places[identity] = (len(lines), line_number(data))
                         lines.append(data)
                         size += len(data)
-                    at = places[identity]
-                    rows.append((file_key, no, identity, len(lines[at]), name, at))
+                    at, number = places[identity]
+                    rows.append((file_key, no, identity, len(lines[at]), name, at, number))
                     # A task of copies of one record writes little and still tells much.
                     if len(rows) >= MANIFEST_ROWS:
                         yield told()
@@ -207,7 +207,7 @@ def sharing_pairs(manifest: DataFrame) -> DataFrame:
 
 
 PACK = T.StructType([T.StructField(n, t) for n, t in (("name", T.StringType()), ("pack", T.StringType()), ("n_records", T.LongType()), ("n_bytes", T.LongType()))])
-READ = T.StructType([*PACK, T.StructField("stored_bytes", T.LongType()), T.StructField("identities", T.ArrayType(T.LongType()))])
+READ = T.StructType([*PACK, T.StructField("stored_bytes", T.LongType()), T.StructField("line_hashes", T.ArrayType(T.LongType()))])
 
 
 def _columns(rows: list[tuple], schema: T.StructType) -> pa.Table:
@@ -216,9 +216,10 @@ def _columns(rows: list[tuple], schema: T.StructType) -> pa.Table:
     return pa.table([pa.array(c, kinds[f.dataType.simpleString()]) for c, f in zip(cols, schema)], names=schema.names)
 
 
-def identity_number(identity: bytes) -> int:
-    """The first 63 bits of an identity, of which sums tell sets of records apart."""
-    return int.from_bytes(identity[:8], "big") >> 1
+def line_number(line: bytes) -> int:
+    """63 bits of a hash of a record as it is written, its line end included; sums of them tell
+    sets of records apart."""
+    return xxhash.xxh3_64_intdigest(line) >> 1
 
 
 def coalesce_packs(manifest: DataFrame, staged: str, out: str, most: int = MOST_BYTES) -> DataFrame:
@@ -280,24 +281,22 @@ def read_back(packs: DataFrame, folder: str, name: str = "name") -> DataFrame:
             for row in batch.to_pylist():
                 with system.open_input_stream(f"{base}/{row[name]}", compression=PUBLISHED) as stream:
                     data = stream.read()
-                found = [canonical(line) for line in data.decode("utf-8", "surrogatepass").split("\n")[:-1]]
-                if None in found:
-                    raise RuntimeError(f"{row[name]} holds a broken record")
-                out.append((row["name"], row["pack"], len(found), len(data), system.get_file_info(f"{base}/{row[name]}").size, list(map(identity_number, found))))
+                found = data.splitlines(keepends=True)
+                out.append((row["name"], row["pack"], len(found), len(data), system.get_file_info(f"{base}/{row[name]}").size, list(map(line_number, found))))
             yield from _columns(out, READ).to_batches()
 
     return packs.repartition(max(1, packs.sparkSession.sparkContext.defaultParallelism), "pack").mapInArrow(read, READ)
 
 
 def verify(manifest: DataFrame, read: DataFrame) -> None:
-    """Raise unless the files read back hold each record of the manifest exactly once: their
-    number, their number of different ones per file and the sum of their identities."""
-    number = F.conv(F.hex(F.substring("identity", 1, 8)), 16, 10).cast("decimal(20,0)")
-    half = F.floor(number / 2).cast("decimal(38,0)")
-    want = manifest.select("identity").distinct().agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(half), F.lit(0).cast("decimal(38,0)")).alias("s")).first()
-    each = F.aggregate("identities", F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x).cast("decimal(38,0)"))
+    """Raise unless the files read back hold each record of the manifest exactly once, byte by
+    byte as it was staged: the number of records, how many different ones a file has, and
+    the sum of their hashes."""
     zero = F.lit(0).cast("decimal(38,0)")
-    got = read.agg(F.coalesce(F.sum(F.size("identities")), F.lit(0)).alias("n"), F.coalesce(F.sum(each), zero).alias("s"), F.coalesce(F.sum(F.size(F.array_distinct("identities"))), F.lit(0)).alias("d")).first()
+    kept = manifest.groupBy("identity").agg(F.min(F.struct("pack", "place", "line_hash")).alias("keep"))
+    want = kept.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("keep.line_hash").cast("decimal(38,0)")), zero).alias("s")).first()
+    each = F.aggregate("line_hashes", zero, lambda a, x: (a + x).cast("decimal(38,0)"))
+    got = read.agg(F.coalesce(F.sum(F.size("line_hashes")), F.lit(0)).alias("n"), F.coalesce(F.sum(each), zero).alias("s"), F.coalesce(F.sum(F.size(F.array_distinct("line_hashes"))), F.lit(0)).alias("d")).first()
     if (got["n"], got["s"]) != (want["n"], want["s"]) or got["d"] != got["n"]:
         raise RuntimeError(f"packs hold {got['n']} records, {got['d']} different ones in their files, the manifest {want['n']}; sums {got['s']} and {want['s']}")
 

@@ -84,7 +84,7 @@ def test_broken_packs_are_not_published(spark, files):
     for damaged in (whole.split(b"\n", 1)[1], whole + whole.split(b"\n", 1)[0] + b"\n", whole[:-5] + b"\n", whole.replace(b"xxxx", b"xxxy", 1)):
         with system.open_output_stream(f"{base}/{name}", compression="gzip") as z:
             z.write(damaged)
-        with pytest.raises(Exception, match="packs hold|broken record"):
+        with pytest.raises(Exception, match="packs hold"):
             verify(manifest, read_back(packs, joined))
 
 
