@@ -3,6 +3,10 @@
 Page lines are told from page furniture, words broken at line ends are found and joined
 across lines, columns and pages, and misread words are found and repaired:
 
+* furniture is told by repetition: of the lines that stand apart at a page's edges, those
+  whose text recurs on other pages of the work, or that are page numbers as other pages of
+  the work have them there; and the other lines that stand apart where, all over the corpus,
+  most of such lines are repeated ones;
 * a frequency lexicon is counted over the whole corpus (words inside lines, where none is
   broken) and joined with the fixed lexicon of ordinary words;
 * a symmetric-delete index over the lexicon's confusion skeletons (a form in which easily
@@ -12,9 +16,10 @@ across lines, columns and pages, and misread words are found and repaired:
 * bigram context picks among several repairs, and finds words that were misread into
   other words.
 
-The work is done on distinct words; lines are touched when words are counted and when
-verdicts are joined back. Nothing grows with a work: the next line of a page's last line
-is found by a join of page edges, not by a window over the work.
+Lines are cut into words by built-in functions. The work is done on distinct words; lines
+are touched when words are counted and when verdicts are joined back. Nothing grows with a
+work: the line behind a page's last one is found by a join of pages, not by a window over
+the work.
 """
 
 from __future__ import annotations
@@ -22,11 +27,12 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.operators.running import running_total
+from quire.functions.text import BLANK, strip_blanks
+from quire.operators.running import running_totals
 from quire.session import settle
 
 # Groups of characters that recognizers confuse, as skeleton rules in the
@@ -38,131 +44,153 @@ DIGIT_FORMS = {"0": "ODo", "1": "lI|!i", "2": "Zz", "5": "Ss", "6": "bG", "8": "
 MARKS = "-‐‑¬~\u00ad"
 # End of fixed values.
 
-#: Bands of the page, as shares of its height, in which furniture stands.
-TOP, BOTTOM = 0.08, 0.94
+#: A line stands apart at a page's edge if it is so many line heights from the next one.
+APART = 2.0
+#: Places on a page, as shares of its height, are told apart in steps of this.
+STEP = 0.02
+#: Share of repeated lines at a place from which all lines that stand apart there are furniture.
+PLACE_SHARE = 0.5
+#: Letters that a recurring header or footer has at least.
+LEAST_LETTERS = 4
 CONFUSION_COST = 0.15
-#: Skeletons shorter than this are met as they are, longer ones with one deletion too.
-DELETE_FROM = 5
 #: How many times more often a corpus word must occur than a word taken for its misreading.
 RATIO = 3
-#: An unknown word seen this often is a misreading of an ordinary word only if that is seen
-#: so many times more often; codes and terms are told from misreadings by it.
-OFTEN, OFTEN_RATIO = 5, 10
+#: An ordinary word counts as seen so many times more than it is, against its misreadings.
+ORDINARY_SEEN = 12
 #: Share of a word's occurrences that are taken to be misread as one other word.
 MISREAD_SHARE = 0.005
 #: Odds from bigrams at which a known word is taken for another one misread.
 CONTEXT_ODDS = 20.0
-#: A lexicon up to this many rows is broadcast.
-BROADCAST_ROWS = 200_000
+#: Lines of a row of paragraph text; a longer paragraph comes in consecutive parts.
+PART_LINES = 4_096
 
 _EDGE = "\\.,;:?\"“”‘’'\\)\\]"
 _STRIP = re.compile(f"^[{_EDGE}]+|[{_EDGE}]+$")
 _MARK_END = re.compile(f"[{re.escape(MARKS)}]+$")
-_NUMBER = re.compile(r"[0-9]+(?:[.,/:%-]*[0-9]*)*%?")
 
 
 # ---------------------------------------------------------------- lines
 
 
-LINES = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("line_id", T.StringType()), T.StructField("furniture", T.BooleanType()), T.StructField("seq", T.IntegerType()),
-            T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("words", T.ArrayType(T.StringType())),
-            T.StructField("has_text", T.BooleanType()), T.StructField("mark", T.BooleanType()), T.StructField("starts", T.BooleanType()),
-        ]
-    )
-)
-_ARROW_LINES = pa.list_(
-    pa.struct(
-        [("line_id", pa.string()), ("furniture", pa.bool_()), ("seq", pa.int32()), ("tokens", pa.list_(pa.string())), ("words", pa.list_(pa.string())), ("has_text", pa.bool_()), ("mark", pa.bool_()), ("starts", pa.bool_())]
-    )
-)
-
-
-def word_form(token: str) -> str:
+def word_form(token: Column) -> Column:
     """A token as a word: lower case, without punctuation at its ends."""
-    return _STRIP.sub("", token).lower()
-
-
-def is_furniture(line: dict, height: float | None, first: bool, last: bool) -> bool:
-    """A line in the bands above or below the body; without a sound box, a first or last
-    line that is a page number."""
-    box = line["box"]
-    if box and len(box) == 4 and None not in box and height:
-        middle = (box[1] + box[3]) / 2
-        return middle < TOP * height or middle > BOTTOM * height
-    text = line["text"] or line["raw_text"] or ""
-    return (first or last) and re.fullmatch(r"\W*(?:p(?:age|\.)?\s*)?(?:[0-9]{1,4}|[ivxlc]+)(?:\s*(?:/|of)\s*[0-9]+)?\W*", text, re.I) is not None
-
-
-def read_page(lines: list[dict] | None, page_size: list[int] | None) -> list[dict]:
-    """The lines of a page in reading order, with their words. The words of a line that
-    ends in a hyphen mark end in the part before it. Line order goes by `order`, then by
-    line_id; null members are dropped."""
-    rows = sorted((x for x in lines or [] if x), key=lambda x: (x["order"] is None, x["order"] or 0, x["line_id"] or ""))
-    height = page_size[1] if page_size and len(page_size) == 2 else None
-    flags = [is_furniture(x, height, i == 0, i == len(rows) - 1) for i, x in enumerate(rows)]
-    lefts: dict[int | None, int] = {}
-    for x, f in zip(rows, flags):
-        if not f and x["box"] and x["box"][0] is not None:
-            lefts[x["column_no"]] = min(lefts.get(x["column_no"], 1 << 30), x["box"][0])
-    out, seq, ended, heading = [], 0, True, False
-    for x, furniture in zip(rows, flags):
-        text, raw = x["text"], x["raw_text"] or ""
-        tokens = (raw if text is None else text).split()
-        mark = bool(tokens) and (tokens[-1][-1] in MARKS or raw[-1:] in MARKS and raw != "")
-        words = list(tokens)
-        if mark:
-            words[-1] = _MARK_END.sub("", words[-1])
-            if not words[-1]:
-                words.pop()
-        words = [word_form(w) for w in words]
-        starts = False
-        if not furniture:
-            left = lefts.get(x["column_no"])
-            indent = bool(x["box"]) and left is not None and x["box"][0] is not None and x["box"][0] - left >= 8
-            title = 0 < len(tokens) <= 5 and tokens[0][:1].isupper() and tokens[-1][-1:].isalpha() and ended and all(t[0].isupper() or len(t) < 4 for t in tokens)
-            starts = indent or title or heading
-            heading, ended = title, not tokens or tokens[-1][-1:] in ".?!:" or title
-        out.append({"line_id": x["line_id"], "furniture": furniture, "seq": -1 if furniture else seq, "tokens": tokens, "words": words, "has_text": text is not None, "mark": mark, "starts": starts})
-        seq += not furniture
-    return out
-
-
-@F.arrow_udf(LINES)
-def _read_pages(lines: pa.Array, sizes: pa.Array) -> pa.Array:
-    return pa.array([read_page(a, b) for a, b in zip(lines.to_pylist(), sizes.to_pylist())], _ARROW_LINES)
+    return F.lower(F.regexp_replace(token, f"^[{_EDGE}]+|[{_EDGE}]+$", ""))
+
+
+def _line(x: Column, height: Column) -> Column:
+    """A line as the stages use it. The words of a line that ends in a hyphen mark end in the
+    part before it; a place is the middle of the line as a share of the page's height."""
+    box = x["box"]
+    sound = (F.size(box) == 4) & ~F.exists(box, lambda v: v.isNull()) & (height > 0)
+    text = strip_blanks(F.coalesce(x["text"], x["raw_text"], F.lit("")))
+    tokens = F.filter(F.split(text, rf"(?U){BLANK}+"), lambda t: t != "")
+    marks = f"[{re.escape(MARKS)}]"
+    last = F.try_element_at(tokens, F.lit(-1))
+    mark = (F.size(tokens) > 0) & (last.rlike(f"{marks}$") | F.coalesce(x["raw_text"].rlike(rf"{marks}\z"), F.lit(False)))
+    cut = F.regexp_replace(last, f"{marks}+$", "")
+    before = F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0)))
+    words = F.when(mark, F.when(cut == "", before).otherwise(F.concat(before, F.array(cut)))).otherwise(tokens)
+    return F.struct(
+        x["order"].isNull().alias("late"), x["order"].alias("order"), F.coalesce(x["line_id"], F.lit("")).alias("_id"), x["line_id"].alias("line_id"), tokens.alias("tokens"),
+        F.transform(words, word_form).alias("words"), x["text"].isNotNull().alias("has_text"), mark.alias("mark"), x["column_no"].alias("column_no"), F.get(box, F.lit(0)).alias("left"),
+        F.when(sound, (F.get(box, F.lit(1)) + F.get(box, F.lit(3))) / 2 / height).alias("place"), F.when(sound, (F.get(box, F.lit(3)) - F.get(box, F.lit(1))) / height).alias("tall"),
+    )
+
+
+def page_readings(pages: DataFrame) -> DataFrame:
+    """Every reading of a page, kept in the scratch folder: id, reading (a hash), written_at,
+    work, page_no, its lines in reading order (by `order`, then by line_id; null members
+    are dropped), and which of them stands apart at the top and at the bottom.
+
+    Rows that agree in id, fingerprint, time and all of their lines are one reading. Pages
+    whose id isn't `<work>_<number>` have no number and are works of their own.
+    """
+    needed = ["line_id", "order", "column_no", "box", "text", "raw_text"]
+    slim = F.transform(F.filter("lines", lambda x: x.isNotNull()), lambda x: F.struct(*[x[c].alias(c) for c in needed]))
+    rows = pages.filter(F.size("lines") > 0).select("id", "fingerprint", "written_at", "page_size", slim.alias("lines"))
+    rows = rows.withColumn("reading", F.xxhash64("fingerprint", "written_at", "page_size", "lines"))
+    rows = rows.groupBy("id", "written_at", "reading").agg(F.first(F.struct("lines", "page_size")).alias("p"))
+    height = F.when(F.size("p.page_size") == 2, F.get("p.page_size", F.lit(1)))
+    number = F.regexp_extract("id", r"_([0-9]{1,9})\z", 1)
+    lines = F.array_sort(F.transform("p.lines", lambda x: _line(x, height)))
+    rows = rows.select("id", "reading", "written_at", F.when(number != "", F.regexp_extract("id", r"\A(.*)_[0-9]{1,9}\z", 1)).otherwise(F.col("id")).alias("work"), F.when(number != "", number.cast("int")).alias("page_no"), lines.alias("lines"))
+    # The outermost lines by place; without boxes the first and the last one.
+    spots = F.array_sort(F.filter(F.transform("lines", lambda x, i: F.struct(x["place"].alias("place"), x["tall"].alias("tall"), i.alias("i"))), lambda x: x["place"].isNotNull()))
+    n = F.size("spots")
+    tall = F.get(F.array_sort(F.transform("spots", lambda x: x["tall"])), F.floor(n / 2).cast("int"))
+    rows = rows.withColumn("spots", spots).withColumn("_tall", tall)
+    first, second, last, before = (F.get("spots", i) for i in (F.lit(0), F.lit(1), n - 1, n - 2))
+    top = F.when(n == 0, F.lit(0)).when((n > 1) & (second["place"] - first["place"] > APART * F.col("_tall")), first["i"])
+    bottom = F.when(n == 0, F.size("lines") - 1).when((n > 1) & (last["place"] - before["place"] > APART * F.col("_tall")), last["i"])
+    return settle(rows.withColumns({"top": top, "bottom": bottom}).drop("spots", "_tall"), "readings")
+
+
+def _header_key(tokens: Column) -> Column:
+    """The letters of a header or footer without its numbers, confused characters the same."""
+    seen, same = "".join(DIGIT_FORMS.values()), "".join(k * len(v) for k, v in DIGIT_FORMS.items())
+    core = F.transform(tokens, lambda t: F.regexp_replace(t, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    named = F.filter(core, lambda t: (t != "") & ~t.rlike(r"(?i)\A[ivxlc]+\z") & ~(t.rlike("[0-9]") & F.translate(t, seen, same).rlike(r"\A[0-9]+\z")))
+    return F.regexp_replace(F.array_join(F.transform(named, lambda t: skeleton(F.lower(t))), ""), "[^a-z]", "")
+
+
+#: A page number, decorated or not, with digits as they are misread.
+NUMBER_LINE = r"\A[^\p{L}\p{N}|!]*(?:[Pp](?:age|\.)?\s+)?(?:[0-9ODolI|!iZzSsbGBgq]{1,4}|[ivxlcIVXLC]+)(?:\s*(?:/|of)\s*[0-9]+)?[^\p{L}\p{N}|!]*\z"
+
+
+def page_furniture(readings: DataFrame) -> DataFrame:
+    """(id, reading, spots): which lines of a reading, by their position, are a running header,
+    a running footer or a page number. Readings without any have no row.
+
+    Evidence is a text that lines at this edge of several pages of the work share - those at
+    its outermost place, as a work's title stands further in on its first page - or a number
+    at a place where several pages of the work have one. Without a sound box a number is
+    evidence enough. A line without evidence counts if most lines at its place have some.
+    """
+    edges = F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("i"), F.get("lines", F.col(side)).alias("l")) for side in ("top", "bottom")])
+    rows = readings.select("id", "reading", "work", F.explode(F.filter(edges, lambda e: e["i"].isNotNull())).alias("e"))
+    text = F.array_join("e.l.tokens", " ")
+    rows = rows.select("id", "reading", "work", "e.side", "e.i", F.col("e.l.place").alias("place"), text.rlike(NUMBER_LINE).alias("number"), _header_key(F.col("e.l.tokens")).alias("key"))
+    rows = rows.withColumns({"edge": F.when(F.col("side") == "top", F.col("place")).otherwise(1 - F.col("place")), "at": F.floor(F.col("place") / STEP)})
+    rows = settle(rows, "edges")
+    named = rows.filter(~F.col("number") & (F.length("key") >= LEAST_LETTERS)).groupBy("work", "side", "key").agg(F.min("id").alias("_a"), F.max("id").alias("_b"), F.min("edge").alias("outer"))
+    named = named.filter("_a < _b").select("work", "side", "key", "outer", F.lit(True).alias("_named"))
+    page = F.when(F.col("number"), F.col("id"))
+    numbers = rows.groupBy("work", "side", "at").agg(F.min(page).alias("_a"), F.max(page).alias("_b"), F.avg(F.col("number").cast("double")).alias("_part"))
+    numbers = numbers.filter((F.col("_a") < F.col("_b")) & (F.col("_part") >= PLACE_SHARE)).select("work", "side", "at", F.lit(True).alias("_numbers"))
+    told = rows.join(named, ["work", "side", "key"], "left").join(numbers, ["work", "side", "at"], "left")
+    text_again = F.coalesce(F.col("_named") & (F.col("outer").isNull() | (F.col("edge") - F.col("outer") < STEP)), F.lit(False))
+    number_again = F.col("number") & (F.coalesce("_numbers", F.lit(False)) | F.col("place").isNull())
+    told = told.select("id", "reading", "side", "at", "i", (text_again | number_again).alias("again"))
+    places = told.filter("at is not null").groupBy("side", "at").agg(F.avg(F.col("again").cast("double")).alias("_share"))
+    found = told.join(places, ["side", "at"], "left").filter(F.col("again") | (F.coalesce("_share", F.lit(0.0)) >= PLACE_SHARE))
+    return found.groupBy("id", "reading").agg(F.collect_set("i").alias("spots"))
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
-    """One row a line of every page reading, kept in the scratch folder: page (id), work,
-    page_no, the line as read_page gives it, `next_word`, `next_line` (of the next body
-    line, on this page or the next) and whether the page goes on (`open_end`).
-
-    Repeats of a reading (same id, fingerprint and time) count once. Pages whose id isn't
-    `<work>_<number>` have no next page.
-    """
-    needed = ["line_id", "order", "column_no", "box", "text", "raw_text"]
-    slim = F.transform("lines", lambda x: F.struct(*[x[c].alias(c) for c in needed]))
-    rows = pages.filter(F.size("lines") > 0).select("id", "fingerprint", "written_at", F.struct(slim.alias("lines"), "page_size").alias("page"))
-    rows = rows.groupBy("id", "fingerprint", "written_at").agg(F.first("page").alias("page"))
-    rows = rows.select("id", "written_at", F.regexp_extract("id", r"\A(.*)_[0-9]{1,9}\z", 1).alias("work"), F.regexp_extract("id", r"_([0-9]{1,9})\z", 1).alias("_no"), _read_pages("page.lines", "page.page_size").alias("lines"))
-    body = F.filter("lines", lambda x: ~x["furniture"])
-    rows = rows.withColumn("page_no", F.when(F.col("_no") != "", F.col("_no").cast("int"))).withColumn("_body", body).withColumn("_n", F.size("_body"))
-    at = F.col("l.seq")
-    lines = rows.select("id", "written_at", "work", "page_no", "_n", "_body", F.explode("lines").alias("l"))
-    follower = F.when((at >= 0) & (at + 1 < F.col("_n")), F.get("_body", at + 1))
-    lines = lines.select("id", "written_at", "work", "page_no", "l.*", (at == F.col("_n") - 1).alias("open_end"), F.get(follower["words"], F.lit(0)).alias("next_word"), follower["line_id"].alias("next_line"))
-    return settle(lines, "lines")
-
-
-def joined_lines(lines: DataFrame) -> DataFrame:
-    """page_lines with the last line of a page led on to the first one of the next page."""
-    firsts = lines.filter("seq = 0 and page_no is not null").groupBy("work", "page_no").agg(F.max(F.struct("written_at", F.get("words", F.lit(0)).alias("w"), "line_id")).alias("f"))
+    """One row a line of every page reading, kept in the scratch folder: id, reading, work,
+    page_no, the line as _line gives it, whether it is furniture, its place among the body
+    lines (`seq`), and the first word and the id of the next body line, on this page or on
+    the newest reading of the next (`next_word`, `next_line`)."""
+    readings = page_readings(pages)
+    spots = page_furniture(readings)
+    rows = readings.select("id", "reading", "written_at", "work", "page_no", "lines").join(spots, ["id", "reading"], "left")
+    rows = rows.withColumn("spots", F.coalesce("spots", F.array().cast("array<int>"))).withColumn("body", F.filter("lines", lambda x, i: ~F.array_contains("spots", i)))
+    head = F.get("body", F.lit(0))
+    firsts = rows.filter("page_no is not null and size(body) > 0").groupBy("work", "page_no").agg(F.max(F.struct("written_at", "reading", F.get(head["words"], F.lit(0)).alias("w"), head["line_id"].alias("line_id"))).alias("f"))
     firsts = firsts.select("work", (F.col("page_no") - 1).alias("page_no"), F.col("f.w").alias("_w"), F.col("f.line_id").alias("_l"))
-    ends = lines.filter("open_end and page_no is not null").drop("next_word", "next_line").join(firsts, ["work", "page_no"], "left").withColumnsRenamed({"_w": "next_word", "_l": "next_line"})
-    return lines.filter("not (open_end and page_no is not null)").unionByName(ends)
+    rows = rows.join(firsts, ["work", "page_no"], "left")
+    flagged = F.transform("lines", lambda x, i: F.struct(x.alias("l"), F.array_contains("spots", i).alias("furniture"), (i - F.size(F.filter("spots", lambda s: s < i))).alias("at")))
+    rows = rows.select("id", "reading", "written_at", "work", "page_no", "body", "_w", "_l", F.explode(flagged).alias("x"))
+    follower, last = F.get("body", F.col("x.at") + 1), F.col("x.at") + 1 >= F.size("body")
+    body = ~F.col("x.furniture")
+    kept = [F.col(f"x.l.{c}").alias(c) for c in ("line_id", "tokens", "words", "has_text", "mark", "column_no", "left")]
+    return settle(
+        rows.select(
+            "id", "reading", "written_at", "work", "page_no", *kept, "x.furniture", F.when(body, F.col("x.at")).otherwise(F.lit(-1)).alias("seq"),
+            F.when(body, F.when(last, F.col("_w")).otherwise(F.get(follower["words"], F.lit(0)))).alias("next_word"), F.when(body, F.when(last, F.col("_l")).otherwise(follower["line_id"])).alias("next_line"),
+        ),
+        "lines",
+    )
 
 
 # ---------------------------------------------------------------- words
@@ -179,10 +207,10 @@ def skeleton(word: Column) -> Column:
 
 
 def deletes(key: Column) -> Column:
-    """The key and, for long keys, all forms that lack one character."""
+    """The key and all forms that lack one character, but for the empty one."""
     n = F.length(key)
     one = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(key, F.lit(1), i - 1), F.substring(key, i + 1, n)))
-    return F.when(n >= DELETE_FROM, F.array_distinct(F.concat(F.array(key), one))).otherwise(F.array(key))
+    return F.when(n > 1, F.array_distinct(F.concat(F.array(key), one))).otherwise(F.array(key))
 
 
 def _confusions() -> set[tuple[str, str]]:
@@ -236,9 +264,15 @@ def weighted_distance(a: str, b: str, limit: float = 1.0) -> float:
     return best[-1][-1] if best[-1][-1] < limit else inf
 
 
+def _cost(word: str, repair: str) -> float:
+    """The distance of a word, or of it without '(' before and '!' behind, to a repair."""
+    cost, bare = weighted_distance(word, repair), word.lstrip("(").rstrip("!")
+    return cost if bare == word else min(cost, weighted_distance(bare, repair))
+
+
 @F.arrow_udf(T.DoubleType())
 def _distances(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([min(weighted_distance(x, y), weighted_distance(x.lstrip("(").rstrip("!"), y)) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+    return pa.array([_cost(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
 
 def figure(word: Column) -> Column:
@@ -293,9 +327,8 @@ def candidates(words: DataFrame) -> DataFrame:
 def verdicts(words: DataFrame, pairs: DataFrame) -> DataFrame:
     """(word, repair, cost) of the unknown words that are misreadings; several rows where
     several repairs cost the same. A figure's repair is the figure as printed."""
-    # An ordinary word explains an unknown one, unless that is seen too often for a misreading.
-    ordinary = f"repair_fixed and (n < {OFTEN} or repair_n >= {OFTEN_RATIO} * n)"
-    unknown = pairs.filter(f"not fixed and ({ordinary} or repair_n >= greatest(2, {RATIO} * n))")
+    # A word explains an unknown one unless that is seen too often for its misreading.
+    unknown = pairs.filter(f"not fixed and repair_n + if(repair_fixed, {ORDINARY_SEEN}, 0) >= greatest(2, {RATIO} * n)")
     # '(' and '!' may be punctuation or a misread letter: what is known without them is itself.
     bare = words.filter("fixed or n >= 2").select(F.col("word").alias("_bare"))
     outer = unknown.select("word").distinct().withColumn("_bare", F.regexp_replace("word", r"^\(+|!+$", "")).filter("_bare <> word")
@@ -324,7 +357,7 @@ def broken_lines(lines: DataFrame, words: DataFrame, misread: DataFrame) -> Data
     known = known.join(misread.select("word").distinct(), "word", "left_anti")
     forms = known.select("word").withColumn("_known", F.lit(True))
     bones = known.select("skeleton").distinct().withColumn("_bone", F.lit(True))
-    ends = lines.filter("not furniture and size(words) > 0").select("line_id", "next_line", "mark", F.element_at("words", -1).alias("head"), "next_word")
+    ends = lines.filter("not furniture and size(words) > 0").select("line_id", "next_line", "mark", F.try_element_at("words", F.lit(-1)).alias("head"), "next_word")
     ends = ends.filter("head <> ''").withColumn("tail", F.coalesce("next_word", F.lit("")))
     # Sentence ends can't be broken words; most lines leave here or are joined once.
     ends = ends.withColumn("joined", F.concat("head", "tail")).withColumn("compound", F.concat_ws("-", "head", "tail"))
@@ -422,11 +455,30 @@ def context_errors(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return asked.filter(odds >= CONTEXT_ODDS).select("line_id", "pos", "repair")
 
 
+def starting(body: DataFrame) -> DataFrame:
+    """Body lines with whether a paragraph starts there: at an indented line, at a heading, or
+    behind one. A heading is a short line of capitalised words behind a sentence's end, or a
+    further line of a heading. Windows hold the lines of one page."""
+    page = Window.partitionBy("id", "reading")
+    order = page.orderBy("seq", "line_id")
+    first, last = F.get("tokens", F.lit(0)), F.try_element_at("tokens", F.lit(-1))
+    capitals = F.forall("tokens", lambda t: t.rlike(r"\A\p{Lu}") | (F.length(t) < 4))
+    formed = (F.size("tokens").between(1, 5)) & first.rlike(r"\A\p{Lu}") & last.rlike(r"\p{L}\z") & capitals
+    rows = body.withColumns({"_formed": F.coalesce(formed, F.lit(False)), "_stops": (F.size("tokens") == 0) | F.coalesce(last.rlike(r"[.?!:]\z"), F.lit(False)), "_margin": F.min("left").over(Window.partitionBy("id", "reading", "column_no"))})
+    # A run of lines of that form is a heading if what is before it ends a sentence.
+    rows = rows.withColumn("_opens", F.col("_formed") & ~F.coalesce(F.lag("_formed").over(order), F.lit(False))).withColumn("_free", F.coalesce(F.lag("_stops").over(order), F.lit(True)))
+    rows = rows.withColumn("_run", F.sum(F.col("_opens").cast("int")).over(order))
+    rows = rows.withColumn("_heading", F.col("_formed") & F.max(F.when(F.col("_opens"), F.col("_free"))).over(Window.partitionBy("id", "reading", "_run")))
+    indent = F.coalesce(F.col("left") - F.col("_margin") >= 8, F.lit(False))
+    starts = indent | F.col("_heading") | F.coalesce(F.lag("_heading").over(order), F.lit(False))
+    return rows.withColumn("starts", F.coalesce(starts, F.lit(False))).drop("_formed", "_stops", "_margin", "_opens", "_free", "_run", "_heading")
+
+
 class Repairs:
     """The stages over one corpus, each made once."""
 
     def __init__(self, pages: DataFrame, lexicon: DataFrame) -> None:
-        self.lines = settle(joined_lines(page_lines(pages)), "joined")
+        self.lines = page_lines(pages)
         self.words = settle(lexicon_words(count_words(self.lines), lexicon), "lexicon")
         self.pairs = settle(candidates(self.words), "pairs")
         self.misread = verdicts(self.words, self.pairs)
@@ -448,30 +500,34 @@ class Repairs:
         return scored.groupBy("line_id", "pos").agg(best.alias("repair"))
 
     def paragraphs(self) -> DataFrame:
-        """(work, paragraph_no, first_line, n_lines, text): running paragraphs in reading
-        order, across columns and pages, without furniture, broken words joined and
-        misread words repaired. Of several readings of a page the newest counts.
-
-        A paragraph starts at an indented line, at a heading, or behind one. Pages whose
-        id has no number stand for themselves.
+        """(work, paragraph_no, part_no, first_line, n_lines, text): running paragraphs in
+        reading order, across columns and pages, without furniture, broken words joined and
+        misread words repaired. Of several readings of a page the newest counts, of those of
+        one time the one of the largest hash.
+
+        A paragraph starts at an indented line, at a heading, or behind one. Pages whose id
+        has no number stand for themselves. A paragraph of more than PART_LINES lines comes
+        in parts, in order, so that none is gathered by one task.
         """
-        newest = self.lines.groupBy("id").agg(F.max("written_at").alias("_t"))
+        newest = self.lines.groupBy("id").agg(F.max(F.struct("written_at", "reading")).alias("_newest"))
         fixes = self.errors().groupBy("line_id").agg(F.map_from_entries(F.collect_set(F.struct("pos", "repair"))).alias("fixes"))
         # Parts of a broken word are mended as one.
         mended = self.broken.join(self.misread.groupBy(F.col("word").alias("joined")).agg(F.max_by("repair", "repair_n").alias("_whole")), "joined", "left")
         cut = mended.groupBy("line_id").agg(F.max(F.coalesce("_whole", "joined")).alias("whole"))
         led = self.broken.filter("next_line is not null").select(F.col("next_line").alias("line_id")).distinct().withColumn("led", F.lit(True))
-        body = self.lines.filter("not furniture").join(newest, "id").filter(F.col("written_at").eqNullSafe(F.col("_t")))
-        body = body.dropDuplicates(["id", "line_id"]).withColumn("work", F.when(F.col("page_no").isNull(), F.col("id")).otherwise(F.col("work"))).na.fill({"page_no": 0})
+        body = starting(self.lines.filter("not furniture").join(newest, "id").filter(F.struct("written_at", "reading").eqNullSafe(F.col("_newest"))))
+        body = body.dropDuplicates(["id", "line_id"]).na.fill({"page_no": 0})
         body = body.join(fixes, "line_id", "left").join(cut, "line_id", "left").join(led, "line_id", "left")
         text = _mended("tokens", F.map_entries(F.coalesce("fixes", F.create_map().cast("map<int,string>"))), "whole", F.coalesce("led", F.lit(False)))
-        body = body.select("work", "page_no", "seq", "line_id", text.alias("text"), F.col("starts").cast("bigint").alias("_start"), (F.col("page_no") / 64).cast("int").alias("_bin"))
-        numbered = running_total(body, "_start", "_bin", ["page_no", "seq", "line_id"], "paragraph_no", ["work"])
+        body = body.select("work", "page_no", "seq", "line_id", text.alias("text"), F.col("starts").cast("bigint").alias("_start"), F.lit(1).cast("bigint").alias("_one"), (F.col("page_no") / 64).cast("int").alias("_bin"))
+        numbered = settle(running_totals(body, {"paragraph_no": "_start", "_line": "_one"}, "_bin", ["page_no", "seq", "line_id"], ["work"]), "numbered")
+        begins = numbered.groupBy("work", "paragraph_no").agg(F.min("_line").alias("_from"))
+        numbered = numbered.join(begins, ["work", "paragraph_no"]).withColumn("part_no", F.floor((F.col("_line") - F.col("_from")) / PART_LINES))
         rows = F.array_sort(F.collect_list(F.struct("page_no", "seq", "line_id", "text")))
-        whole = numbered.groupBy("work", "paragraph_no").agg(rows.alias("r"))
+        whole = numbered.groupBy("work", "paragraph_no", "part_no").agg(rows.alias("r"))
         parts = F.filter(F.transform("r", lambda x: x["text"]), lambda t: t != "")
         joined = F.regexp_replace(F.array_join(parts, " "), r" (?=[.,;:?!](?: |$))|(?<=[a-z]-) (?=[a-z])", "")
-        return whole.select("work", "paragraph_no", F.get("r", F.lit(0))["line_id"].alias("first_line"), F.size("r").alias("n_lines"), joined.alias("text"))
+        return whole.select("work", "paragraph_no", "part_no", F.get("r", F.lit(0))["line_id"].alias("first_line"), F.size("r").alias("n_lines"), joined.alias("text"))
 
     def found(self) -> DataFrame:
         """(line_id, kind) as the project asks for it."""

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,11 +51,103 @@ def test_paragraphs(repairs):
     assert "on B12 Vortiv these fields (of barley)" in text and "Old Book" not in text and "- 7 -" not in text
 
 
+def boxed(name, lines, at=1):
+    """A page of (text, y) lines."""
+    rows = [(f"{name}:l{i:04d}", i, 0, [30, y - 8, 400, y + 8] if y is not None else None, t, t, None) for i, (t, y) in enumerate(lines)]
+    return (name, f"f{name}{at}", at, [512, 768], rows)
+
+
+BODY = [(f"the old garden was quiet {k} and modern", 150 + 24 * k) for k in range(10)]
+
+
+def furniture(spark, pages):
+    df = spark.createDataFrame(pages, PAGES)
+    return {(r["id"], i) for r in scans.page_furniture(scans.page_readings(df)).collect() for i in r["spots"]}
+
+
+def test_furniture_is_told_by_repetition(spark):
+    head = ["Winter Fields", "Winter Fie1ds", "Winter F", "Barley and Oats", "Barley and 0ats"]
+    pages = [boxed("7_001", [("Winter Fields", 90), *BODY, ("- 1 -", 745)])]
+    pages += [boxed(f"7_{i + 2:03d}", [(f"{h} {i + 2}", 30), *BODY, (n, 745)]) for i, (h, n) in enumerate(zip(head, ["- 2 -", "- B -", "p. 4", "[S]", "- 6 -"]))]
+    # the title on the first page stays; cut and misread headers count by their place
+    assert furniture(spark, pages) == {("7_001", 11)} | {(f"7_{i:03d}", k) for i in range(2, 7) for k in (0, 11)}
+    # body lines that stand in the same bands, without a gap or without recurring, are body
+    full = [boxed(f"8_{i:03d}", [(f"{w} was carried by farmers", 20 + 24 * k) for k, w in enumerate(f"one{i} two{i} three{i} four{i} five{i}".split())]) for i in range(1, 5)]
+    alone = [boxed(f"9_{i:03d}", [(f"{w} of every winter", 20), *BODY]) for i, w in enumerate(["Water", "System", "Relied", "Quiet"], 1)]
+    assert furniture(spark, full + alone) == set()
+    # figures at a place where the work mostly has text are no page numbers
+    figures = [boxed(f"5_{i:03d}", [("1871" if i in (2, 4) else f"{w} came before", 90), *BODY]) for i, w in enumerate("water fields barley winter carried system".split(), 1)]
+    assert furniture(spark, figures) == set()
+
+
+def test_furniture_without_boxes(spark):
+    pages = [boxed(f"6_{i:03d}", [("Winter Fields", None), ("the old garden", None), (f"word{i} was quiet", None), (f"- {i} -", None)]) for i in (1, 2)]
+    assert furniture(spark, pages) == {(f"6_{i:03d}", k) for i in (1, 2) for k in (0, 3)}
+    assert furniture(spark, [("x", "f", 1, None, None), ("y", "f", 1, [512, 768], []), ("z_1", "f", 1, [512], [(None, None, None, [1, 2], None, None, None)])]) == set()
+
+
+def test_readings_of_one_key_but_other_lines_both_count(spark):
+    a, b = boxed("3_001", [("the garden", 200)]), boxed("3_001", [("the fields", 200)])
+    df = spark.createDataFrame([a, b, a], PAGES)
+    assert scans.page_readings(df).count() == 2
+    whole = scans.Repairs(df, spark.createDataFrame([("the", 1)], "word string, n_seen long")).paragraphs()
+    assert whole.count() == 1 and whole.first()["n_lines"] == 1
+
+
+def test_context_tells_words_misread_into_words(spark):
+    """'burn' misread as 'bum', which is a word too, stands out by its neighbours."""
+    lines = ["men burn the old wood now"] * 300 + ["a poor bum sat in town"] * 40
+    pages = [boxed(f"2_{i:03d}", [(t, 150 + 24 * k) for k, t in enumerate(lines[i * 20 : i * 20 + 20])]) for i in range(17)]
+    pages.append(boxed("2_900", [("men bum the old wood now", 150), ("a poor bum sat in town", 174)]))
+    lexicon = spark.createDataFrame([(w, 1) for w in "men burn the old wood now a poor bum sat in town".split()], "word string, n_seen long")
+    repairs = scans.Repairs(spark.createDataFrame(pages, PAGES), lexicon)
+    assert [tuple(r) for r in repairs.errors().collect()] == [("2_900:l0000", 1, "burn")]
+
+
+def test_context_picks_among_repairs_of_one_cost(spark):
+    lines = ["the cat came home again"] * 30 + ["an oat field grew tall"] * 30
+    pages = [boxed(f"2_{i:03d}", [(t, 150 + 24 * k) for k, t in enumerate(lines[i * 10 : i * 10 + 10])]) for i in range(6)]
+    pages.append(boxed("2_900", [("the ca7 came home again", 150), ("an 0at field grew tall", 174), ("the @at of c@t", 198)]))
+    lexicon = spark.createDataFrame([(w, 1) for w in "the cat came home again an oat field grew tall of".split()], "word string, n_seen long")
+    got = {tuple(r) for r in scans.Repairs(spark.createDataFrame(pages, PAGES), lexicon).errors().collect()}
+    assert ("2_900:l0001", 1, "oat") in got and ("2_900:l0002", 3, "cat") in got
+
+
+def test_long_paragraphs_come_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(scans, "PART_LINES", 16)
+    pages = [boxed(f"2_{i:03d}", [(f"word{i} and more{k} of the same", 150 + 24 * k) for k in range(10)]) for i in range(1, 6)]
+    rows = scans.Repairs(spark.createDataFrame(pages, PAGES), spark.createDataFrame([("the", 1)], "word string, n_seen long")).paragraphs().orderBy("part_no").collect()
+    assert [(r["part_no"], r["n_lines"]) for r in rows] == [(0, 16), (1, 16), (2, 16), (3, 2)] and len({r["paragraph_no"] for r in rows}) == 1
+    assert " ".join(r["text"] for r in rows).split()[:3] == ["word1", "and", "more0"] and sum(r["text"].count("same") for r in rows) == 50
+
+
 def test_deletes_and_skeletons(spark):
-    df = spark.createDataFrame([("modern",), ("modem",), ("o1d",), ("old",), ("",)], "w string")
+    df = spark.createDataFrame([("modern",), ("modem",), ("o1d",), ("old",), ("",), ("a",)], "w string")
     got = {r["w"]: (r["s"], r["d"]) for r in df.select("w", scans.skeleton(F.col("w")).alias("s"), scans.deletes(F.col("w")).alias("d")).collect()}
     assert got["modern"][0] == got["modem"][0] and got["o1d"][0] == got["old"][0]
-    assert set(got["modem"][1]) == {"modem", "odem", "mdem", "moem", "modm", "mode"} and got["old"][1] == ["old"] and got[""][1] == [""]
+    assert set(got["modem"][1]) == {"modem", "odem", "mdem", "moem", "modm", "mode"} and set(got["old"][1]) == {"old", "od", "ld", "ol"} and got[""][1] == [""] and got["a"][1] == ["a"]
+
+
+def test_the_index_meets_confused_words_of_all_lengths(spark):
+    """Recall of the candidate index against weighing all pairs, short words included."""
+    rng = random.Random(12)
+    words = {"".join(rng.choices("rnmlihcdovweats", k=k)) for k in (2, 3, 3, 4, 4, 5, 6, 7, 8, 9) for _ in range(12)}
+    pairs = sorted(p for p in scans.CONFUSIONS if p[0].isascii() and p[1].isascii())
+
+    def misread(w):
+        for _ in range(rng.randint(1, 2)):
+            fits = [(i, a, b) for a, b in pairs for i in range(len(w)) if w.startswith(a, i)]
+            i, a, b = rng.choice(fits)
+            w = w[:i] + b + w[i + len(a) :]
+        return w
+
+    asked = {misread(w) for w in words for _ in range(2) if any(a in w for a, _ in pairs)} - words
+    df = spark.createDataFrame([(w, 0, w in words) for w in words | asked], "word string, n long, fixed boolean").withColumn("skeleton", scans.skeleton(F.col("word")))
+    got = {(r["word"], r["repair"]) for r in scans.candidates(df).collect()}
+    want = {(a, b) for a in asked for b in words if scans._cost(a, b) < 1 and re.search("[a-z]", a)}
+    assert len(want) > 150
+    short = {x for x in want if len(x[0]) < 5}
+    assert len(got & want) >= 0.97 * len(want) and len(got & short) >= 0.97 * len(short)
 
 
 def test_distance_is_a_shortest_path():
