@@ -94,23 +94,66 @@ def _deletion_keys(word: Column, depth: int) -> Column:
     return keys
 
 
-def lexicon_lookup(words: DataFrame, lexicon: DataFrame, limit: int = 8, depth: int = 3, max_edit: int = 3) -> DataFrame:
-    """(word, term, cost, rank): up to `limit` terms of `lexicon` (word, count) for each
-    distinct word, cheapest first, then by count, then by the term.
+def left_out(start: str, depth: int) -> set[str]:
+    """A string and all forms with up to `depth` characters left out."""
+    out = layer = {start}
+    for _ in range(depth):
+        layer = {w[:i] + w[i + 1 :] for w in layer for i in range(len(w))}
+        out = out | layer
+    return out
+
+
+def meeting_keys(low: str, most: float, depth: int) -> set[str]:
+    """Keys on which a word meets every term within a cost of `most`, if terms are kept under
+    left_out(start, depth): the word's first START characters, as they are or with confused
+    groups replaced, with what the cost leaves for characters left out."""
+    keys: set[str] = set()
+    todo, seen = [(0, "", 0)], set()
+    while todo:
+        at, made, n = todo.pop()
+        if (at, made, n) in seen:
+            continue
+        seen.add((at, made, n))
+        if at >= len(low) or len(made) >= START:
+            keys |= left_out(made[:START], min(depth, int(most - CONFUSED * n + 1e-9)))
+            continue
+        todo.append((at + 1, made + low[at], n))
+        if CONFUSED * (n + 1) <= most:
+            todo += [(at + k, made + b.lower(), n + 1) for k in (1, 2) if at + k <= len(low) for b in GOALS.get(low[at : at + k], ())]
+    return keys
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _meeting_keys(words: pa.Array, most: pa.Array) -> pa.Array:
+    return pa.array([sorted(meeting_keys(w, m, int(m))) for w, m in zip(words.to_pylist(), most.to_pylist())], pa.list_(pa.string()))
+
+
+def near_terms(words: DataFrame, lexicon: DataFrame, max_edit: int = 3, confusions: bool = False) -> DataFrame:
+    """(word, term, count): every term of `lexicon` (word, count) within `max_edit` unit edits
+    of a distinct word, letter case aside, but for the word itself. With `confusions`: within
+    that cost (edit_cost), which takes in all of these and terms that confused groups explain.
 
     Words and terms meet on a common form of their first START characters with at most
-    `depth` characters left out of either; terms further than `max_edit` unit edits are
-    dropped. With depth equal to max_edit no term within it is missed: whichever start
-    ends first in the alignment, all but max_edit of its characters lie in the other.
+    `max_edit` of them left out of either, so that none is missed: whichever start ends first
+    in the alignment, all but max_edit of its characters lie in the other.
     """
-    keys = lambda c: F.explode(_deletion_keys(F.substring(F.lower(c), 1, START), depth))
     spark = words.sparkSession
     # Keys and costs are worth more tasks than the size of the words would give.
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    asked = words.select("word").repartition(tasks, "word").distinct().withColumn("_key", keys("word"))
-    terms = lexicon.select(F.col("word").alias("term"), "count").withColumn("_key", keys("term"))
-    near = F.abs(F.length(F.lower("word")) - F.length(F.lower("term"))) <= max_edit
-    pairs = asked.join(terms, "_key").filter(near).drop("_key").distinct().filter(F.levenshtein(F.lower("word"), F.lower("term"), max_edit) >= 0)
-    pairs = pairs.withColumn("cost", weighted_edit(F.col("word"), F.col("term")))
+    start = lambda c: F.substring(F.lower(c), 1, START)
+    asked = words.select("word").filter("word is not null").distinct().repartition(tasks, "word")
+    keys = _meeting_keys(F.lower("word"), F.lit(float(max_edit))) if confusions else _deletion_keys(start("word"), max_edit)
+    asked = asked.withColumn("_key", F.explode(keys))
+    terms = lexicon.select(F.col("word").alias("term"), "count").filter("term is not null").withColumn("_key", F.explode(_deletion_keys(start("term"), max_edit)))
+    pairs = asked.join(terms, "_key").filter(F.lower("word") != F.lower("term")).drop("_key").distinct()
+    if confusions:
+        return pairs.repartition(tasks).filter(weighted_edit(F.lower("word"), F.col("term")) <= max_edit)
+    return pairs.filter(F.levenshtein(F.lower("word"), F.lower("term"), max_edit) >= 0)
+
+
+def lexicon_lookup(words: DataFrame, lexicon: DataFrame, limit: int = 8, max_edit: int = 3, confusions: bool = False) -> DataFrame:
+    """(word, term, cost, rank): up to `limit` of the near_terms of each distinct word,
+    cheapest first, then by count, then by the term."""
+    pairs = near_terms(words, lexicon, max_edit, confusions).withColumn("cost", weighted_edit(F.lower("word") if confusions else F.col("word"), F.col("term")))
     rank = F.row_number().over(Window.partitionBy("word").orderBy("cost", F.desc("count"), "term"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= limit).select("word", "term", "cost", "rank")

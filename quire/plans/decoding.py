@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import candidates, ctc
-from quire.plans.records import _lines
+from quire.session import settle
 from quire.sources.tables import spread, table
 
 LETTERS = ["", *map(chr, range(97, 123))]
@@ -63,33 +63,55 @@ def beam_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sources(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "ocr_lines").filter(F.size("lines") > 0).select(F.explode("lines").alias("l"))
+    """(line_id, sources) of every line with a reading, from its newest page record."""
+    rows = table(spark, folder, "ocr_lines").filter(F.size("lines") > 0)
+    age = F.struct(*[F.col(c) for c in ("written_at", "fingerprint") if c in rows.columns], F.lit(0).alias("_"))
     text = lambda s: F.coalesce(s["restricted_text"], s["raw_text"])
     read = F.transform(F.filter("l.sources", lambda s: text(s).isNotNull()), lambda s: F.struct(s["name"].alias("name"), s["view"].alias("view"), text(s).alias("text")))
-    return rows.select(F.col("l.line_id").alias("line_id"), read.alias("sources")).filter(F.size("sources") > 0).dropDuplicates(["line_id"])
+    rows = rows.select(age.alias("_age"), F.explode("lines").alias("l")).select("_age", F.col("l.line_id").alias("line_id"), read.alias("sources")).filter(F.size("sources") > 0)
+    return rows.groupBy("line_id").agg(F.max(F.struct("_age", "sources")).alias("r")).select("line_id", F.col("r.sources").alias("sources"))
+
+
+def _base(sources: Column) -> Column:
+    blank = lambda x: F.trim(x["text"]) == ""
+    return F.coalesce(F.get(F.filter(sources, lambda x: (x["view"] == "out") & ~blank(x)), F.lit(0)), F.get(F.filter(sources, lambda x: ~blank(x)), F.lit(0)), F.get(sources, F.lit(0)))
+
+
+def _planned(spark: SparkSession, lines: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """`lines` (line_id, sources) plus `plan`, with what the lexicon says of their words."""
+    read = settle(lines.withColumn("base", candidates.plain(_base(F.col("sources"))["text"])), "read")
+    facts = candidates.line_facts(read.select("line_id", "base"), lexicon)
+    # Planning costs far more than an exchange, and small partitions aren't to be joined before it.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return read.join(facts, "line_id", "left").repartition(tasks, "line_id").select("line_id", "sources", candidates.plans(F.col("sources"), F.col("facts")).alias("plan"))
 
 
 def candidate_plan(spark: SparkSession, folder: str) -> DataFrame:
     """Spans and candidates of all lines with a reading, one row a candidate. A line without
     spans is one row, with its error if it couldn't be planned; the error also names sources
     that were left out of a plan."""
-    counts = {r["word"]: r["n_seen"] for r in table(spark, folder, "lexicon").limit(200_001).collect()}
-    # Planning costs far more than an exchange, and small partitions aren't to be joined before it.
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    planned = _sources(spark, folder).repartition(tasks, "line_id").select("line_id", candidates.plans(F.col("sources"), counts).alias("p"))
-    spans = planned.select("line_id", "p.base_source", "p.error", F.explode_outer("p.spans").alias("s"))
+    lexicon = table(spark, folder, "lexicon").select("word", F.col("n_seen").alias("count"))
+    planned = _planned(spark, _sources(spark, folder), lexicon)
+    spans = planned.select("line_id", "plan.base_source", "plan.error", F.explode_outer("plan.spans").alias("s"))
     rows = spans.select("line_id", "base_source", "error", F.col("s.id").alias("span_id"), F.col("s.original").alias("original"), F.explode_outer("s.candidates").alias("c"))
     return rows.select("line_id", "base_source", "error", "span_id", "original", F.col("c.id").alias("candidate_id"), F.col("c.text").alias("text"), F.col("c.origin").alias("origin"), F.round("c.edit_cost", 4).alias("edit_cost"))
 
 
 def base_readings(spark: SparkSession, folder: str) -> DataFrame:
-    s = F.col("sources")
-    blank = lambda x: F.trim(x["text"]) == ""
-    pick = F.coalesce(F.get(F.filter(s, lambda x: (x["view"] == "out") & ~blank(x)), F.lit(0)), F.get(F.filter(s, lambda x: ~blank(x)), F.lit(0)), F.get(s, F.lit(0)))
-    rows = _sources(spark, folder).withColumn("b", pick)
+    rows = _sources(spark, folder).withColumn("b", _base(F.col("sources")))
     return rows.select("line_id", F.concat_ws(":", "b.name", "b.view").alias("source"), F.col("b.text").alias("text"))
 
 
+def plan_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each planned line: the words of its base that its spans hold, and whether every span
+    starts with its original and keeps to the budget."""
+    lexicon = table(spark, folder, "lexicon").select("word", F.col("n_seen").alias("count"))
+    p = _planned(spark, _sources(spark, folder), lexicon).filter(F.size("plan.spans") > 0)
+    words = F.flatten(F.transform("plan.spans", lambda s: F.split(s["original"], r"\s+")))
+    sound = F.forall("plan.spans", lambda s: (s["candidates"][0]["text"] == s["original"]) & (s["candidates"][0]["origin"] == "original") & (F.size(s["candidates"]) <= 6))
+    return p.select("line_id", F.array_join(words, " ").alias("words"), sound.alias("sound"))
+
+
 def _budget_rows(spark: SparkSession, folder: str) -> DataFrame:
     li = table(spark, folder, "lineitem")
     origin = F.when(F.col("l_linenumber") == 1, "original").when(F.col("l_returnflag") == "A", "rec-med:blur").when(F.col("l_returnflag") == "R", "ctc_beam:rec-med:out").otherwise("lexicon")
@@ -100,8 +122,9 @@ def candidate_budget(spark: SparkSession, folder: str) -> DataFrame:
     return candidates.within_budget(_budget_rows(spark, folder), ["span"], 4)
 
 
-_READ = """rows AS (SELECT l.line_id AS line_id, list_transform(list_filter(l.sources, lambda s: coalesce(s.restricted_text, s.raw_text) IS NOT NULL), lambda s: {'name': s.name, 'view': s."view", 'text': coalesce(s.restricted_text, s.raw_text)}) AS s
-      FROM (SELECT unnest(lines) AS l FROM ocr_lines WHERE len(lines) > 0))"""
+_READ = """rows AS (SELECT line_id, s FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY written_at DESC, fingerprint DESC) AS k FROM every_ WHERE len(s) > 0) WHERE k = 1)"""
+_READ = """every_ AS (SELECT written_at, fingerprint, l.line_id AS line_id, list_transform(list_filter(l.sources, lambda s: coalesce(s.restricted_text, s.raw_text) IS NOT NULL), lambda s: {'name': s.name, 'view': s."view", 'text': coalesce(s.restricted_text, s.raw_text)}) AS s
+      FROM (SELECT written_at, fingerprint, unnest(lines) AS l FROM ocr_lines WHERE len(lines) > 0)), """ + _READ
 _SQUARES = """q AS (SELECT label, vec_id AS t, unnest(range(len(embedding))) AS class_id, unnest(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) AS q FROM embeddings),
     p AS (SELECT label, t, class_id, q / sum(q) OVER (PARTITION BY label, t) AS p FROM q)"""
 
@@ -112,6 +135,9 @@ SQL = {
         SELECT label, coalesce(string_agg(class_id::VARCHAR, ' ' ORDER BY t) FILTER (WHERE class_id <> 0 AND class_id IS DISTINCT FROM before), '') AS decoded FROM c GROUP BY label""",
     "base_readings": f"""WITH {_READ}, b AS (SELECT line_id, coalesce(list_filter(s, lambda x: x."view" = 'out' AND trim(x.text) <> '')[1], list_filter(s, lambda x: trim(x.text) <> '')[1], s[1]) AS b FROM rows WHERE len(s) > 0)
         SELECT DISTINCT line_id, b.name || ':' || b."view" AS source, b.text AS text FROM b""",
+    # Lines whose sources are all in the alphabet: their bases, word by word.
+    "plan_spans": f"""WITH {_READ}, b AS (SELECT line_id, coalesce(list_filter(s, lambda x: x."view" = 'out' AND trim(x.text) <> '')[1], list_filter(s, lambda x: trim(x.text) <> '')[1], s[1]) AS b, s FROM rows)
+        SELECT line_id, array_to_string(list_filter(string_split_regex(b.text, '\\s+'), lambda w: w <> ''), ' ') AS words, true AS sound FROM b WHERE trim(b.text) <> '' """,
     "candidate_budget": """WITH o AS (SELECT l_orderkey AS span, l_partkey * 1000000 + l_suppkey * 10 + l_linenumber AS position, l_quantity AS edit_cost,
           CASE WHEN l_linenumber = 1 THEN 'original' WHEN l_returnflag = 'A' THEN 'rec-med:blur' WHEN l_returnflag = 'R' THEN 'ctc_beam:rec-med:out' ELSE 'lexicon' END AS origin FROM lineitem),
         k AS (SELECT *, CASE WHEN origin = 'original' THEN 0 WHEN origin = 'rec-med:blur' THEN 1 WHEN origin = 'lexicon' THEN 2 ELSE 3 END AS kind FROM o),
@@ -120,4 +146,4 @@ SQL = {
         SELECT span, position, origin, edit_cost, 'c' || no AS id FROM n WHERE no < 4""",
 }
 
-ALL = (restrict_mass, greedy_decode, ctc_forward, beam_topk, candidate_plan, base_readings, candidate_budget)
+ALL = (restrict_mass, greedy_decode, ctc_forward, beam_topk, candidate_plan, plan_spans, base_readings, candidate_budget)
