@@ -77,22 +77,34 @@ def word_form(token: Column) -> Column:
     return F.lower(F.regexp_replace(token, f"^[{_EDGE}]+|[{_EDGE}]+$", ""))
 
 
+_MARKED = f"[{re.escape(MARKS)}]"
+
+
+def words_of(tokens: Column, mark: Column) -> Column:
+    """The words of a line; those of one that ends in a hyphen mark end in the part before it."""
+    cut = F.regexp_replace(F.try_element_at(tokens, F.lit(-1)), f"{_MARKED}+$", "")
+    before = F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0)))
+    return F.transform(F.when(mark, F.when(cut == "", before).otherwise(F.concat(before, F.array(cut)))).otherwise(tokens), word_form)
+
+
+def first_word(line: Column) -> Column:
+    """The first of words_of a line struct, null if it has none."""
+    first = F.get(line["tokens"], F.lit(0))
+    cut = F.regexp_replace(first, f"{_MARKED}+$", "")
+    return word_form(F.when(line["mark"] & (F.size(line["tokens"]) == 1), F.when(cut != "", cut)).otherwise(first))
+
+
 def _line(x: Column, height: Column) -> Column:
-    """A line as the stages use it. The words of a line that ends in a hyphen mark end in the
-    part before it; a place is the middle of the line as a share of the page's height."""
+    """A line as the stages use it, in a form that sorts in reading order. A place is the
+    middle of the line as a share of the page's height."""
     box = x["box"]
     sound = (F.size(box) == 4) & ~F.exists(box, lambda v: v.isNull()) & (height > 0)
     text = strip_blanks(F.coalesce(x["text"], x["raw_text"], F.lit("")))
     tokens = F.filter(F.split(text, rf"(?U){BLANK}+"), lambda t: t != "")
-    marks = f"[{re.escape(MARKS)}]"
-    last = F.try_element_at(tokens, F.lit(-1))
-    mark = (F.size(tokens) > 0) & (last.rlike(f"{marks}$") | F.coalesce(x["raw_text"].rlike(rf"{marks}\z"), F.lit(False)))
-    cut = F.regexp_replace(last, f"{marks}+$", "")
-    before = F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0)))
-    words = F.when(mark, F.when(cut == "", before).otherwise(F.concat(before, F.array(cut)))).otherwise(tokens)
+    mark = (text != "") & (text.rlike(rf"{_MARKED}\z") | F.coalesce(x["raw_text"].rlike(rf"{_MARKED}\z"), F.lit(False)))
     return F.struct(
         x["order"].isNull().alias("late"), x["order"].alias("order"), F.coalesce(x["line_id"], F.lit("")).alias("_id"), x["line_id"].alias("line_id"), tokens.alias("tokens"),
-        F.transform(words, word_form).alias("words"), x["text"].isNotNull().alias("has_text"), mark.alias("mark"), x["column_no"].alias("column_no"), F.get(box, F.lit(0)).alias("left"),
+        x["text"].isNotNull().alias("has_text"), mark.alias("mark"), x["column_no"].alias("column_no"), F.get(box, F.lit(0)).alias("left"),
         F.when(sound, (F.get(box, F.lit(1)) + F.get(box, F.lit(3))) / 2 / height).alias("place"), F.when(sound, (F.get(box, F.lit(3)) - F.get(box, F.lit(1))) / height).alias("tall"),
     )
 
@@ -122,7 +134,10 @@ def page_readings(pages: DataFrame) -> DataFrame:
     first, second, last, before = (F.get("spots", i) for i in (F.lit(0), F.lit(1), n - 1, n - 2))
     top = F.when(n == 0, F.lit(0)).when((n > 1) & (second["place"] - first["place"] > APART * F.col("_tall")), first["i"])
     bottom = F.when(n == 0, F.size("lines") - 1).when((n > 1) & (last["place"] - before["place"] > APART * F.col("_tall")), last["i"])
-    return settle(rows.withColumns({"top": top, "bottom": bottom}).drop("spots", "_tall"), "readings")
+    rows = rows.withColumns({"top": top, "bottom": bottom})
+    rows = rows.withColumns({f"{side}_place": F.get("lines", F.col(side))["place"] for side in ("top", "bottom")})
+    kept = ("line_id", "tokens", "has_text", "mark", "column_no", "left")
+    return settle(rows.withColumn("lines", F.transform("lines", lambda x: F.struct(*[x[c].alias(c) for c in kept]))).drop("spots", "_tall"), "readings")
 
 
 def _header_key(tokens: Column) -> Column:
@@ -146,10 +161,10 @@ def page_furniture(readings: DataFrame) -> DataFrame:
     at a place where several pages of the work have one. Without a sound box a number is
     evidence enough. A line without evidence counts if most lines at its place have some.
     """
-    edges = F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("i"), F.get("lines", F.col(side)).alias("l")) for side in ("top", "bottom")])
+    edges = F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("i"), F.get("lines", F.col(side))["tokens"].alias("tokens"), F.col(f"{side}_place").alias("place")) for side in ("top", "bottom")])
     rows = readings.select("id", "reading", "work", F.explode(F.filter(edges, lambda e: e["i"].isNotNull())).alias("e"))
-    text = F.array_join("e.l.tokens", " ")
-    rows = rows.select("id", "reading", "work", "e.side", "e.i", F.col("e.l.place").alias("place"), text.rlike(NUMBER_LINE).alias("number"), _header_key(F.col("e.l.tokens")).alias("key"))
+    text = F.array_join("e.tokens", " ")
+    rows = rows.select("id", "reading", "work", "e.side", "e.i", "e.place", text.rlike(NUMBER_LINE).alias("number"), _header_key(F.col("e.tokens")).alias("key"))
     rows = rows.withColumns({"edge": F.when(F.col("side") == "top", F.col("place")).otherwise(1 - F.col("place")), "at": F.floor(F.col("place") / STEP)})
     rows = settle(rows, "edges")
     named = rows.filter(~F.col("number") & (F.length("key") >= LEAST_LETTERS)).groupBy("work", "side", "key").agg(F.min("id").alias("_a"), F.max("id").alias("_b"), F.min("edge").alias("outer"))
@@ -168,26 +183,27 @@ def page_furniture(readings: DataFrame) -> DataFrame:
 
 def page_lines(pages: DataFrame) -> DataFrame:
     """One row a line of every page reading, kept in the scratch folder: id, reading, work,
-    page_no, the line as _line gives it, whether it is furniture, its place among the body
+    page_no, the line as _line gives it and its words, whether it is furniture, its place among the body
     lines (`seq`), and the first word and the id of the next body line, on this page or on
     the newest reading of the next (`next_word`, `next_line`)."""
     readings = page_readings(pages)
     spots = page_furniture(readings)
     rows = readings.select("id", "reading", "written_at", "work", "page_no", "lines").join(spots, ["id", "reading"], "left")
-    rows = rows.withColumn("spots", F.coalesce("spots", F.array().cast("array<int>"))).withColumn("body", F.filter("lines", lambda x, i: ~F.array_contains("spots", i)))
-    head = F.get("body", F.lit(0))
-    firsts = rows.filter("page_no is not null and size(body) > 0").groupBy("work", "page_no").agg(F.max(F.struct("written_at", "reading", F.get(head["words"], F.lit(0)).alias("w"), head["line_id"].alias("line_id"))).alias("f"))
-    firsts = firsts.select("work", (F.col("page_no") - 1).alias("page_no"), F.col("f.w").alias("_w"), F.col("f.line_id").alias("_l"))
-    rows = rows.join(firsts, ["work", "page_no"], "left")
+    rows = rows.withColumn("spots", F.coalesce("spots", F.array().cast("array<int>")))
+    body = F.filter("lines", lambda x, i: ~F.array_contains("spots", i))
+    head = F.get(body, F.lit(0))
+    firsts = rows.filter(F.col("page_no").isNotNull()).select("work", "page_no", "written_at", "reading", head.alias("h")).filter("h is not null")
+    firsts = firsts.select("work", (F.col("page_no") - 1).alias("page_no"), F.struct("written_at", "reading", first_word(F.col("h")).alias("w"), F.col("h.line_id").alias("line_id")).alias("f"))
+    firsts = firsts.groupBy("work", "page_no").agg(F.max("f").alias("f")).select("work", "page_no", F.col("f.w").alias("_w"), F.col("f.line_id").alias("_l"))
+    rows = rows.join(firsts, ["work", "page_no"], "left").withColumn("body", body)
     flagged = F.transform("lines", lambda x, i: F.struct(x.alias("l"), F.array_contains("spots", i).alias("furniture"), (i - F.size(F.filter("spots", lambda s: s < i))).alias("at")))
     rows = rows.select("id", "reading", "written_at", "work", "page_no", "body", "_w", "_l", F.explode(flagged).alias("x"))
-    follower, last = F.get("body", F.col("x.at") + 1), F.col("x.at") + 1 >= F.size("body")
-    body = ~F.col("x.furniture")
-    kept = [F.col(f"x.l.{c}").alias(c) for c in ("line_id", "tokens", "words", "has_text", "mark", "column_no", "left")]
+    follower, last, own = F.get("body", F.col("x.at") + 1), F.col("x.at") + 1 >= F.size("body"), ~F.col("x.furniture")
+    kept = [F.col(f"x.l.{c}").alias(c) for c in ("line_id", "tokens", "has_text", "mark", "column_no", "left")]
     return settle(
         rows.select(
-            "id", "reading", "written_at", "work", "page_no", *kept, "x.furniture", F.when(body, F.col("x.at")).otherwise(F.lit(-1)).alias("seq"),
-            F.when(body, F.when(last, F.col("_w")).otherwise(F.get(follower["words"], F.lit(0)))).alias("next_word"), F.when(body, F.when(last, F.col("_l")).otherwise(follower["line_id"])).alias("next_line"),
+            "id", "reading", "written_at", "work", "page_no", *kept, words_of(F.col("x.l.tokens"), F.col("x.l.mark")).alias("words"), "x.furniture", F.when(own, F.col("x.at")).otherwise(F.lit(-1)).alias("seq"),
+            F.when(own, F.when(last, F.col("_w")).otherwise(first_word(follower))).alias("next_word"), F.when(own, F.when(last, F.col("_l")).otherwise(follower["line_id"])).alias("next_line"),
         ),
         "lines",
     )
