@@ -222,13 +222,19 @@ def line_number(line: bytes) -> int:
     return xxhash.xxh3_64_intdigest(line) >> 1
 
 
-def coalesce_packs(manifest: DataFrame, staged: str, out: str, most: int = MOST_BYTES) -> DataFrame:
-    """Join staged packs, without later copies of a record, into files in `out` of at most
+def kept_records(manifest: DataFrame) -> DataFrame:
+    """What is kept of each staged pack: (pack, places, n_records, bytes, hash_sum), one place
+    for each different record, kept in the scratch folder."""
+    spots = manifest.groupBy("identity").agg(F.min(F.struct("pack", "place", "n_bytes", "line_hash")).alias("keep")).select("keep.*")
+    sums = [F.count(F.lit(1)).alias("n_records"), F.sum("n_bytes").alias("bytes"), F.sum(F.col("line_hash").cast("decimal(38,0)")).alias("hash_sum")]
+    return settle(spots.groupBy("pack").agg(F.collect_list("place").alias("places"), *sums), "kept")
+
+
+def coalesce_packs(kept: DataFrame, staged: str, out: str, most: int = MOST_BYTES) -> DataFrame:
+    """Join staged packs, as far as their records are kept, into files in `out` of at most
     `most` bytes of records; returns PACK rows of what the tasks wrote: the file's `name`
     there, and the name it is to have (`pack`), which follows from its place alone."""
-    spots = manifest.groupBy("identity").agg(F.min(F.struct("pack", "place", "n_bytes")).alias("keep")).select("identity", "keep.*")
-    packs = spots.groupBy("pack").agg(F.collect_list("place").alias("places"), F.sum("n_bytes").alias("bytes"))
-    packs = settle(packs, "packs")
+    packs = kept.select("pack", "places", "bytes")
     # Units of packs: a running total of bytes inside hash bins, cut at an even size.
     total = packs.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     bins = max(1, int(total // (64 * UNIT_BYTES)))
@@ -288,13 +294,12 @@ def read_back(packs: DataFrame, folder: str, name: str = "name") -> DataFrame:
     return packs.repartition(max(1, packs.sparkSession.sparkContext.defaultParallelism), "pack").mapInArrow(read, READ)
 
 
-def verify(manifest: DataFrame, read: DataFrame) -> None:
-    """Raise unless the files read back hold each record of the manifest exactly once, byte by
+def verify(kept: DataFrame, read: DataFrame) -> None:
+    """Raise unless the files read back hold each record that is kept exactly once, byte by
     byte as it was staged: the number of records, how many different ones a file has, and
     the sum of their hashes."""
     zero = F.lit(0).cast("decimal(38,0)")
-    kept = manifest.groupBy("identity").agg(F.min(F.struct("pack", "place", "line_hash")).alias("keep"))
-    want = kept.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("keep.line_hash").cast("decimal(38,0)")), zero).alias("s")).first()
+    want = kept.agg(F.coalesce(F.sum("n_records"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("hash_sum").cast("decimal(38,0)")), zero).alias("s")).first()
     each = F.aggregate("line_hashes", zero, lambda a, x: (a + x).cast("decimal(38,0)"))
     got = read.agg(F.coalesce(F.sum(F.size("line_hashes")), F.lit(0)).alias("n"), F.coalesce(F.sum(each), zero).alias("s"), F.coalesce(F.sum(F.size(F.array_distinct("line_hashes"))), F.lit(0)).alias("d")).first()
     if (got["n"], got["s"]) != (want["n"], want["s"]) or got["d"] != got["n"]:
@@ -331,9 +336,10 @@ def consolidate(files: DataFrame, key: str, content: str, out: str, most: int =
     spark = files.sparkSession
     staged, joined = new_scratch(spark, "packs"), new_scratch(spark, "joined")
     manifest = stage_packs(files, key, content, staged)
-    packs = coalesce_packs(manifest, staged, joined, most)
+    kept = kept_records(manifest)
+    packs = coalesce_packs(kept, staged, joined, most)
     read = settle(read_back(packs, joined), "readback")
-    verify(manifest, read)
+    verify(kept, read)
     publish(packs, joined, out)
     for path in (staged, joined):
         delete_path(spark, path)

@@ -3,7 +3,7 @@ import json
 import pyarrow.fs as pafs
 import pytest
 
-from quire.operators.compact import canonical, coalesce_packs, consolidate, open_folder, publish, read_back, records, sharing_members, sharing_pairs, stage_packs, verify
+from quire.operators.compact import canonical, coalesce_packs, consolidate, kept_records, open_folder, publish, read_back, records, sharing_members, sharing_pairs, stage_packs, verify
 from quire.session import new_scratch
 
 
@@ -60,10 +60,11 @@ def test_repeated_attempts_leave_no_copies(spark, files):
     """Files of other attempts stay behind in the staging folder, moves may run twice."""
     staged, joined, out = (new_scratch(spark, k) for k in ("a", "b", "c"))
     manifest = stage_packs(files, "file_key", "body", staged)
-    packs = coalesce_packs(manifest, staged, joined, 4_000)
-    coalesce_packs(manifest, staged, joined, 4_000)
+    kept = kept_records(manifest)
+    packs = coalesce_packs(kept, staged, joined, 4_000)
+    coalesce_packs(kept, staged, joined, 4_000)
     read = read_back(packs, joined)
-    verify(manifest, read)
+    verify(kept, read)
     assert len(held_in(joined)) == 2 * packs.count()
     publish(packs, joined, out)
     publish(packs, joined, out)
@@ -77,7 +78,8 @@ def test_repeated_attempts_leave_no_copies(spark, files):
 def test_broken_packs_are_not_published(spark, files):
     staged, joined = (new_scratch(spark, k) for k in ("a", "b"))
     manifest = stage_packs(files, "file_key", "body", staged)
-    packs = coalesce_packs(manifest, staged, joined, 4_000)
+    kept = kept_records(manifest)
+    packs = coalesce_packs(kept, staged, joined, 4_000)
     name = packs.first()["name"]
     system, base = open_folder(joined)
     whole = held_in(joined)[name]
@@ -85,7 +87,7 @@ def test_broken_packs_are_not_published(spark, files):
         with system.open_output_stream(f"{base}/{name}", compression="gzip") as z:
             z.write(damaged)
         with pytest.raises(Exception, match="packs hold"):
-            verify(manifest, read_back(packs, joined))
+            verify(kept, read_back(packs, joined))
 
 
 def test_copies_of_one_record_leave_a_task_in_parts(spark):
