@@ -103,10 +103,10 @@ def left_out(start: str, depth: int) -> set[str]:
     return out
 
 
-def meeting_keys(low: str, most: float, depth: int) -> set[str]:
+def meeting_keys(low: str, most: float, depth: int, confused: int = 0) -> set[str]:
     """Keys on which a word meets every term within a cost of `most`, if terms are kept under
-    left_out(start, depth): the word's first START characters, as they are or with confused
-    groups replaced, with what the cost leaves for characters left out."""
+    left_out(start, depth): the word's first START characters, with `confused` or more
+    confused groups replaced, and with what the cost leaves for characters left out."""
     keys: set[str] = set()
     todo, seen = [(0, "", 0)], set()
     while todo:
@@ -115,7 +115,8 @@ def meeting_keys(low: str, most: float, depth: int) -> set[str]:
             continue
         seen.add((at, made, n))
         if at >= len(low) or len(made) >= START:
-            keys |= left_out(made[:START], min(depth, int(most - CONFUSED * n + 1e-9)))
+            if n >= confused:
+                keys |= left_out(made[:START], min(depth, int(most - CONFUSED * n + 1e-9)))
             continue
         todo.append((at + 1, made + low[at], n))
         if CONFUSED * (n + 1) <= most:
@@ -124,31 +125,38 @@ def meeting_keys(low: str, most: float, depth: int) -> set[str]:
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
-def _meeting_keys(words: pa.Array, most: pa.Array) -> pa.Array:
-    return pa.array([sorted(meeting_keys(w, m, int(m))) for w, m in zip(words.to_pylist(), most.to_pylist())], pa.list_(pa.string()))
+def _confused_keys(words: pa.Array, most: pa.Array) -> pa.Array:
+    return pa.array([sorted(meeting_keys(w, m, int(m) - 1, 1)) for w, m in zip(words.to_pylist(), most.to_pylist())], pa.list_(pa.string()))
 
 
 def near_terms(words: DataFrame, lexicon: DataFrame, max_edit: int = 3, confusions: bool = False) -> DataFrame:
     """(word, term, count): every term of `lexicon` (word, count) within `max_edit` unit edits
-    of a distinct word, letter case aside, but for the word itself. With `confusions`: within
-    that cost (edit_cost), which takes in all of these and terms that confused groups explain.
+    of a distinct word, letter case aside, but for the word itself. With `confusions` also
+    the terms within that cost (edit_cost) that confused groups bring there.
 
     Words and terms meet on a common form of their first START characters with at most
     `max_edit` of them left out of either, so that none is missed: whichever start ends first
-    in the alignment, all but max_edit of its characters lie in the other.
+    in the alignment, all but max_edit of its characters lie in the other. A confused group
+    leaves less for other edits, so that words with groups replaced need one less left out,
+    and only these pairs are weighed by more than built-in functions.
     """
     spark = words.sparkSession
     # Keys and costs are worth more tasks than the size of the words would give.
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     start = lambda c: F.substring(F.lower(c), 1, START)
     asked = words.select("word").filter("word is not null").distinct().repartition(tasks, "word")
-    keys = _meeting_keys(F.lower("word"), F.lit(float(max_edit))) if confusions else _deletion_keys(start("word"), max_edit)
-    asked = asked.withColumn("_key", F.explode(keys))
-    terms = lexicon.select(F.col("word").alias("term"), "count").filter("term is not null").withColumn("_key", F.explode(_deletion_keys(start("term"), max_edit)))
-    pairs = asked.join(terms, "_key").filter(F.lower("word") != F.lower("term")).drop("_key").distinct()
-    if confusions:
-        return pairs.repartition(tasks).filter(weighted_edit(F.lower("word"), F.col("term")) <= max_edit)
-    return pairs.filter(F.levenshtein(F.lower("word"), F.lower("term"), max_edit) >= 0)
+    terms = lexicon.select(F.col("word").alias("term"), "count").filter("term is not null")
+    far = F.levenshtein(F.lower("word"), F.lower("term"), max_edit) < 0
+
+    def met(keys: Column, depth: int) -> DataFrame:
+        kept = terms.withColumn("_key", F.explode(_deletion_keys(start("term"), depth)))
+        return asked.withColumn("_key", F.explode(keys)).join(kept, "_key").filter(F.lower("word") != F.lower("term")).drop("_key")
+
+    pairs = met(_deletion_keys(start("word"), max_edit), max_edit).filter(~far).distinct()
+    if confusions and max_edit > 0:
+        more = met(_confused_keys(F.lower("word"), F.lit(float(max_edit))), max_edit - 1).filter(far).distinct()
+        pairs = pairs.union(more.repartition(tasks).filter(weighted_edit(F.lower("word"), F.col("term")) <= max_edit))
+    return pairs
 
 
 def lexicon_lookup(words: DataFrame, lexicon: DataFrame, limit: int = 8, max_edit: int = 3, confusions: bool = False) -> DataFrame:

@@ -103,13 +103,13 @@ def base_readings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def plan_spans(spark: SparkSession, folder: str) -> DataFrame:
-    """Of each planned line: the words of its base that its spans hold, and whether every span
+    """Of each planned line: how many words of its base its spans hold, and whether every span
     starts with its original and keeps to the budget."""
     lexicon = table(spark, folder, "lexicon").select("word", F.col("n_seen").alias("count"))
     p = _planned(spark, _sources(spark, folder), lexicon).filter(F.size("plan.spans") > 0)
     words = F.flatten(F.transform("plan.spans", lambda s: F.split(s["original"], r"\s+")))
     sound = F.forall("plan.spans", lambda s: (s["candidates"][0]["text"] == s["original"]) & (s["candidates"][0]["origin"] == "original") & (F.size(s["candidates"]) <= 6))
-    return p.select("line_id", F.array_join(words, " ").alias("words"), sound.alias("sound"))
+    return p.select("line_id", F.size(words).cast("bigint").alias("words"), sound.alias("sound"))
 
 
 def _budget_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -135,9 +135,8 @@ SQL = {
         SELECT label, coalesce(string_agg(class_id::VARCHAR, ' ' ORDER BY t) FILTER (WHERE class_id <> 0 AND class_id IS DISTINCT FROM before), '') AS decoded FROM c GROUP BY label""",
     "base_readings": f"""WITH {_READ}, b AS (SELECT line_id, coalesce(list_filter(s, lambda x: x."view" = 'out' AND trim(x.text) <> '')[1], list_filter(s, lambda x: trim(x.text) <> '')[1], s[1]) AS b FROM rows WHERE len(s) > 0)
         SELECT DISTINCT line_id, b.name || ':' || b."view" AS source, b.text AS text FROM b""",
-    # Lines whose sources are all in the alphabet: their bases, word by word.
     "plan_spans": f"""WITH {_READ}, b AS (SELECT line_id, coalesce(list_filter(s, lambda x: x."view" = 'out' AND trim(x.text) <> '')[1], list_filter(s, lambda x: trim(x.text) <> '')[1], s[1]) AS b, s FROM rows)
-        SELECT line_id, array_to_string(list_filter(string_split_regex(b.text, '\\s+'), lambda w: w <> ''), ' ') AS words, true AS sound FROM b WHERE trim(b.text) <> '' """,
+        SELECT line_id, len(list_filter(string_split_regex(b.text, '[\\s\\x{{a0}}]+'), lambda w: w <> '')) AS words, true AS sound FROM b WHERE trim(b.text) <> '' """,
     "candidate_budget": """WITH o AS (SELECT l_orderkey AS span, l_partkey * 1000000 + l_suppkey * 10 + l_linenumber AS position, l_quantity AS edit_cost,
           CASE WHEN l_linenumber = 1 THEN 'original' WHEN l_returnflag = 'A' THEN 'rec-med:blur' WHEN l_returnflag = 'R' THEN 'ctc_beam:rec-med:out' ELSE 'lexicon' END AS origin FROM lineitem),
         k AS (SELECT *, CASE WHEN origin = 'original' THEN 0 WHEN origin = 'rec-med:blur' THEN 1 WHEN origin = 'lexicon' THEN 2 ELSE 3 END AS kind FROM o),

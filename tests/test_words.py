@@ -51,7 +51,7 @@ def test_lexicon_lookup_matches_brute_force(spark):
     terms = ["cat", "cart", "coat", "dog", "modem", "modern"]
     lexicon = spark.createDataFrame([(w, len(w)) for w in terms], "word string, count long")
     words = ["cat", "modem", "cot", "zzz", "Carf"]
-    got = {(r["word"], r["term"]): r["cost"] for r in spelling.lexicon_lookup(spark.createDataFrame([(w,) for w in words], "word string"), lexicon, depth=2, max_edit=2).collect()}
+    got = {(r["word"], r["term"]): r["cost"] for r in spelling.lexicon_lookup(spark.createDataFrame([(w,) for w in words], "word string"), lexicon, max_edit=2).collect()}
 
     def lev(a, b):
         row = list(range(len(b) + 1))
@@ -62,7 +62,7 @@ def test_lexicon_lookup_matches_brute_force(spark):
             row = new
         return row[-1]
 
-    want = {(w, t): spelling.edit_cost(w, t) for w in words for t in terms if lev(w.lower(), t) <= 2}
+    want = {(w, t): spelling.edit_cost(w, t) for w in words for t in terms if lev(w.lower(), t) <= 2 and w.lower() != t}
     assert got == want
 
 
@@ -89,7 +89,7 @@ def test_lexicon_lookup_as_registered_misses_nothing(spark):
     lexicon = spark.createDataFrame([(t, 1) for t in terms], "word string, count long")
     out = spelling.lexicon_lookup(spark.createDataFrame([(w,) for w in words], "word string"), lexicon, limit=1000)
     got = {(r["word"], r["term"]): r["cost"] for r in out.collect()}
-    want = {(w, t): spelling.edit_cost(w, t) for w in set(words) for t in terms if unit_edits(w, t) <= 3}
+    want = {(w, t): spelling.edit_cost(w, t) for w in set(words) for t in terms if unit_edits(w, t) <= 3 and w != t}
     assert got == want and ("cxnvxsx", "canvass") in got
 
 
@@ -130,3 +130,21 @@ def test_exclusion_reasons(spark):
     stamp = spark.createDataFrame([([(0, 0, 5, 5)],)], "s array<struct<x0:int,y0:int,x1:int,y1:int>>")
     inside = stamp.select(phrases.in_stamp(F.lit(5), F.lit(0), F.col("s")).alias("a"), phrases.in_stamp(F.lit(6), F.lit(0), F.col("s")).alias("b")).first()
     assert (inside["a"], inside["b"]) == (True, False)
+
+
+def test_near_terms_with_confusions_miss_nothing_within_the_cost(spark):
+    rng = random.Random(5)
+    terms = sorted({"".join(rng.choices("rnmcldvwaei", k=rng.randint(1, 14))) for _ in range(150)} | {"moment", "canvass"})
+    words = {"rnornent", "cxnvxsy", "vvvvrnrnclcl", "q", "1owa"}
+    for t in rng.sample(terms, 60):
+        for a, b in rng.sample(spelling.BOTH_WAYS, 6):
+            t = t.replace(a, b, rng.randint(0, 2))
+        w = list(t)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randint(0, len(w))
+            w[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "x"])
+        words.add("".join(w).lower() or "q")
+    lexicon = spark.createDataFrame([(t, 1) for t in terms], "word string, count long")
+    found = {(r["word"], r["term"]) for r in spelling.near_terms(spark.createDataFrame([(w,) for w in words] + [(None,)], "word string"), lexicon, confusions=True).collect()}
+    want = {(w, t) for w in words for t in terms if w != t and (unit_edits(w, t) <= 3 or spelling.edit_cost(w, t) <= 3)}
+    assert found == want and ("rnornent", "moment") in found
