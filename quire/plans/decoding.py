@@ -1,6 +1,6 @@
 """Queries over character evidence and candidate plans, with their SQL.
 
-The tables hold no probabilities of lines, so squared embedding values stand in for
+The tables hold no whole matrices of probabilities of lines, so squared embedding values stand in for
 frames, and evidence of lexicon words is made the way a recognizer would emit it: a
 blank between letters, and a fifth of the mass spread over all classes.
 """
@@ -14,7 +14,8 @@ from quire.operators import candidates, ctc
 from quire.session import settle
 from quire.sources.tables import spread, table
 
-LETTERS = ["", *map(chr, range(97, 123))]
+#: The blank and all printable characters, by code from the blank on.
+LETTERS = ["", *map(chr, range(32, 127))]
 
 
 def _frames(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,20 +35,20 @@ def greedy_decode(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("label", F.array_join(F.col("classes").cast("array<string>"), " ").alias("decoded"))
 
 
-def _evidence(word: Column) -> Column:
+def evidence(word: Column) -> Column:
     """Frames of a word: 0.8 on the blank or the letter, 0.2 spread evenly."""
     n = len(LETTERS)
     share = 0.2 / n
 
     def frame(t: Column) -> Column:
-        meant = F.when(t % 2 == 0, F.lit(0)).otherwise(F.ascii(F.substring(word, F.floor(t / 2).cast("int") + 1, F.lit(1))) - 96)
+        meant = F.when(t % 2 == 0, F.lit(0)).otherwise(F.ascii(F.substring(word, F.floor(t / 2).cast("int") + 1, F.lit(1))) - 31)
         return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.when(k == meant, F.lit(0.8 + share)).otherwise(F.lit(share)))
 
     return F.transform(F.sequence(F.lit(0), F.length(word) * 2), frame)
 
 
 def _words(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "lexicon")).filter(F.col("word").rlike(r"\A[a-z]+\z")).select("word", _evidence(F.col("word")).alias("probs"))
+    return spread(table(spark, folder, "lexicon")).filter(F.col("word").rlike(r"\A[\x20-\x7E]+\z")).select("word", evidence(F.col("word")).alias("probs"))
 
 
 def ctc_forward(spark: SparkSession, folder: str) -> DataFrame:
