@@ -4,9 +4,11 @@ Records that share a value of any tie column, directly or through others, form o
 group. Groups are the connected components of a graph whose vertices are tie *values*
 (not records), found by random-mate contraction: each round every vertex draws a coin,
 vertices with tails move into their smallest neighbour with heads, and the edges are
-renamed, until no edge is left; the moves are then unwound in reverse. A value that a
-third of all records hold is one vertex, and the records behind it are pre-aggregated
-into distinct pairs before the first exchange.
+renamed, until no edge is left; the moves are then unwound in reverse. Before the coins of
+a round, vertices with a single neighbour move into it, which needs no coin and takes away
+most of the edges (pictures of one work, editions of one number). A value that a third of
+all records hold is one vertex, and the records behind it are pre-aggregated into distinct
+pairs before the first exchange.
 """
 
 from __future__ import annotations
@@ -42,6 +44,18 @@ def edition(raw: Column) -> Column:
     return F.when(~word.isin(NO_EDITION) & ~word.rlike(r"\A[0\-_.?*\s]+\z"), word)
 
 
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def leaf_moves(edges: DataFrame) -> DataFrame:
+    """(node, root) of the vertices of `edges(u, v)`, u < v and distinct, that have one
+    neighbour: each moves into it. Of two that have only each other the larger one moves."""
+    single = _both(edges).groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v")).filter("n = 1")
+    ends = single.groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.max("u").alias("node"))
+    return ends.select("node", F.when(F.col("node") == F.col("b"), F.col("a")).otherwise(F.col("b")).alias("root"))
+
+
 def contract(edges: DataFrame, label: str = "contract") -> DataFrame:
     """Connected components of undirected `edges(u, v)` as (node, root), for every node
     that has an edge to another one; the root is one of the component's nodes.
@@ -51,19 +65,24 @@ def contract(edges: DataFrame, label: str = "contract") -> DataFrame:
     """
     spark = edges.sparkSession
 
-    def both(e: DataFrame) -> DataFrame:
-        return e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-
     def coin(node: str, turn: int) -> Column:
         return F.pmod(F.xxhash64(F.col(node), F.lit(turn)), F.lit(2)) == 1
 
     now = settle(edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), label)
     moves: list[DataFrame] = []
     for turn in range(MAX_ROUNDS):
+        if now.isEmpty():
+            break
+        # A leaf's only edge goes with it; no other edge is renamed.
+        moved = settle(leaf_moves(now), label)
+        moves.append(moved)
+        gone = moved.select(F.least("node", "root").alias("u"), F.greatest("node", "root").alias("v"))
+        before, now = now, settle(now.join(gone, ["u", "v"], "left_anti"), label)
+        discard(spark, before)
         if now.isEmpty():
             break
         # Tails move to the smallest neighbour with heads; min() combines on the map side.
-        met = both(now).filter(~coin("u", turn) & coin("v", turn))
+        met = _both(now).filter(~coin("u", turn) & coin("v", turn))
         moved = settle(met.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")), label)
         moves.append(moved)
         end = now

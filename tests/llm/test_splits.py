@@ -33,6 +33,23 @@ def test_contraction_matches_union_find(spark):
     assert splits.contract(spark.createDataFrame([("a", "a")], "u string, v string")).count() == 0
 
 
+def test_leaves_move_into_their_only_neighbour(spark):
+    edges = [("a", "b"), ("hub", "x1"), ("hub", "x2"), ("m", "n"), ("n", "o"), ("p", "q"), ("p", "r"), ("q", "r")]
+    got = {r["node"]: r["root"] for r in splits.leaf_moves(spark.createDataFrame(edges, "u string, v string")).collect()}
+    # of a pair the larger one moves; both ends of a chain do; a ring has no leaf
+    assert got == {"b": "a", "x1": "hub", "x2": "hub", "m": "n", "o": "n"}
+
+
+def test_rings_and_long_chains_need_coins(spark):
+    edges = [(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)] + [(f"k{i}", f"k{j}") for i in range(5) for j in range(i)]
+    edges += [(f"t{i:02d}", f"t{i + 1:02d}") for i in range(60)]
+    got = {r["node"]: r["root"] for r in splits.contract(spark.createDataFrame(edges, "u string, v string")).collect()}
+    root = lambda n: got.get(n, n)
+    for kind, n in (("r", 7), ("k", 5)):
+        assert len({root(f"{kind}{i}") for i in range(n)}) == 1
+    assert len({root(f"t{i:02d}") for i in range(61)}) == 1 and len({root("r0"), root("k0"), root("t00")}) == 3
+
+
 def test_document_numbers_and_editions(spark):
     forms = ["105", "#105", "１０５", "105.0", "00000105", "Doc. 105", "doc105", " 105 ", "DOC-105"]
     df = spark.createDataFrame([(f,) for f in [*forms, "10.5", "", None, "x", "0"]], "d string")
