@@ -35,10 +35,19 @@ def safe_filename(name: Column) -> Column:
     """The name itself where it is one on every system, else one made from its hash."""
     plain = name.rlike(r"\A[A-Za-z0-9][A-Za-z0-9_.-]{0,100}\z") & ~name.rlike(r"[. ]\z")
     device = F.upper(F.split_part(name, F.lit("."), F.lit(1))).rlike(DEVICES)
-    quoted = F.concat(F.lit('"'), F.regexp_replace(name, r'(["\\])', r"\\$1"), F.lit('"'))
+    quoted = F.concat(F.lit('"'), _escaped(F.regexp_replace(name, r'(["\\])', r"\\$1")), F.lit('"'))
     return F.when(plain & ~device, name).otherwise(F.concat(F.lit("sample-"), F.substring(F.sha2(quoted, 256), 1, 16)))
 
 
+def _escaped(text: Column) -> Column:
+    """Control characters as JSON escapes them; texts without any aren't touched."""
+    out = text
+    for code in range(32):
+        sign = chr(code)
+        out = F.replace(out, F.lit(sign), F.lit(json.dumps(sign)[1:-1]))
+    return F.when(text.rlike(r"[\x00-\x1f]"), out).otherwise(text)
+
+
 def safe_crop_id(name: Column) -> Column:
     """True where an id can name a crop file, whatever its length."""
     return F.coalesce(name.rlike(r"\A[A-Za-z0-9][A-Za-z0-9_.-]*\z"), F.lit(False))

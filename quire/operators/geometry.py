@@ -304,3 +304,12 @@ _ORDER = T.ArrayType(T.StructType([T.StructField("position", T.IntegerType()), T
 ordered_boxes = by_page(lambda boxes: [{"position": keep[i], "column_no": c} for keep in [[k for k, b in enumerate(boxes or []) if b and len(b) == 4 and None not in b]] for i, c in reading_order([boxes[k] for k in keep])], _ORDER)
 _TILES = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "end", "crop_start", "crop_end")]))
 tiles = by_page(lambda height, ink: [dict(zip(("start", "end", "crop_start", "crop_end"), t)) for t in tile(height, ink)] if height else [], _TILES)
+_BOXES = T.ArrayType(T.ArrayType(T.DoubleType()))
+_SPLIT = T.StructType([T.StructField("boxes", _BOXES), T.StructField("warning", T.StringType())])
+#: split_tall(box, ink_share, typical), trim_rows(box, ink_count), suppress_contained(boxes, warned)
+#: and uncovered(gray, boxes) of rows of values.
+split_boxes = by_page(lambda box, ink, typical: dict(zip(("boxes", "warning"), split_tall(box, ink or [], typical))), _SPLIT)
+trimmed_box = by_page(lambda box, ink: [float(v) for v in trim_rows(box, ink or [])], T.ArrayType(T.DoubleType()))
+suppressed_by = by_page(lambda boxes, warned: suppress_contained(boxes or [], warned or []), T.ArrayType(T.IntegerType()))
+_BARE = T.StructType([T.StructField("share", T.DoubleType()), T.StructField("bands", T.ArrayType(T.ArrayType(T.IntegerType())))])
+uncovered_ink = by_page(lambda gray, boxes: dict(zip(("share", "bands"), uncovered(np.asarray(gray, dtype=float), boxes or []))), _BARE)

@@ -86,3 +86,38 @@ def merge_history(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
 def exit_status(results: DataFrame) -> int:
     """1 if any result failed, else 0."""
     return int(not results.filter(F.col("status") == "error").isEmpty())
+
+
+def first_rows(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
+    """The first `n` rows of an order that breaks ties; `n` is 1 at least. Each task keeps
+    its own first rows, so no more than `n` of each are brought together."""
+    return df.orderBy(*order).limit(bounded("n", n, 1))
+
+
+def bounded(name: str, value: int, least: int, most: int | None = None) -> int:
+    """An argument that must be a whole number within bounds."""
+    if type(value) is not int or value < least or (most is not None and value > most):
+        raise ValueError(f"{name} must be a whole number of at least {least}" + ("" if most is None else f" and at most {most}"))
+    return value
+
+
+def set_fingerprint(df: DataFrame, keys: list[str], *members: Column) -> DataFrame:
+    """(keys, members, fingerprint): a fingerprint of the set of different members of each key,
+    from the sum and the number of their hashes, so that nothing is collected or sorted."""
+    said = F.concat_ws("|", *[F.coalesce(m.cast("string"), F.lit("~")) for m in members])
+    rows = df.select(*keys, said.alias("_m")).distinct()
+    number = F.conv(F.substring(F.sha2("_m", 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("members"), F.sum(number).alias("_s"))
+    return found.select(*keys, "members", F.sha2(F.concat_ws(":", F.col("_s").cast("string"), F.col("members").cast("string")), 256).alias("fingerprint"))
+
+
+def line_key(line: Column, images: Column, assets: Column, context: Column, settings: Column, model: Column, prompt: Column, lexicon: Column, code: Column) -> Column:
+    """The key under which a line's selection can be used again: all that its result depends on."""
+    parts = {"line": line, "image_hashes": images, "asset_hashes": assets, "context": context, "settings": settings, "model": model, "prompt": prompt, "lexicon": lexicon, "code": code}
+    return fingerprint(*[c.alias(k) for k, c in parts.items()])
+
+
+def block_key(region: Column, scale: Column, settings: Column, prompt: Column, code: Column) -> Column:
+    """The same for a block of a page."""
+    parts = {"region": region, "scale": scale, "settings": settings, "prompt": prompt, "code": code}
+    return fingerprint(*[c.alias(k) for k, c in parts.items()])

@@ -62,18 +62,29 @@ def check_views(views: list[str], known: tuple[str, ...] = ("blur", "out")) -> l
     return views
 
 
+def checked(df: DataFrame, rules: list[tuple[int, str, Column, Column | None]], key: Column) -> DataFrame:
+    """Violations of rules about single rows (rank, rule, broken, detail), in one pass."""
+
+    def row(rank: int, rule: str, broken: Column, detail: Column | None) -> Column:
+        said = (detail if detail is not None else F.lit(None)).cast("string")
+        return F.when(F.coalesce(broken, F.lit(False)), F.struct(F.lit(rank).alias("rank"), F.lit(rule).alias("rule"), key.cast("string").alias("key"), said.alias("detail")))
+
+    found = F.filter(F.array(*[row(*r) for r in rules]), lambda x: x.isNotNull())
+    return df.select(F.explode(found).alias("v")).select("v.*")
+
+
 def manifest_violations(samples: DataFrame, views: list[str], held_out: tuple[str, ...] = ("0", "4", "14")) -> DataFrame:
     """All rules of the page manifest: required fields, unique ids, known splits and roles,
-    held-out documents, one split a document, one run."""
+    held-out documents, one split a document, one run. Rules about single rows share one
+    scan; only the others exchange rows."""
     key = F.col("id")
     need = ["id", "document_id", "deblur_run", "split", *check_views(views)]
-    parts = [violations(samples, 10, f"required:{c}", is_blank(F.col(c).cast("string")), key) for c in need]
-    parts.append(duplicates(samples, 20, "unique:id", ["id"]))
-    parts.append(violations(samples, 30, "domain:split", ~F.col("split").isin(*SPLITS), key, F.col("split")))
-    parts.append(violations(samples, 40, "held_out", F.col("document_id").isin(*held_out) & F.col("split").isin("train", "validation"), key, F.col("split")))
-    parts.append(determines(samples, 50, "document_in_one_split", "document_id", "split"))
-    parts.append(violations(samples, 60, "domain:stage2_split", ~F.col("stage2_split").isin(*ROLES), key, F.col("stage2_split")))
-    return union_all(parts)
+    rules = [(10, f"required:{c}", is_blank(F.col(c).cast("string")), None) for c in need]
+    rules.append((30, "domain:split", ~F.col("split").isin(*SPLITS), F.col("split")))
+    rules.append((40, "held_out", F.col("document_id").isin(*held_out) & F.col("split").isin("train", "validation"), F.col("split")))
+    rules.append((60, "domain:stage2_split", ~F.col("stage2_split").isin(*ROLES), F.col("stage2_split")))
+    parts = [checked(samples, rules, key), duplicates(samples, 20, "unique:id", ["id"]), determines(samples, 50, "document_in_one_split", "document_id", "split")]
+    return union_all([*parts, one_value(samples, 70, "one_run", "deblur_run")])
 
 
 def one_value(df: DataFrame, rank: int, rule: str, col: str) -> DataFrame:

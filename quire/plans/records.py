@@ -118,6 +118,26 @@ def fingerprint_rows(spark: SparkSession, folder: str) -> DataFrame:
     return n.select("n_nationkey", resume.fingerprint(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")).alias("fingerprint"))
 
 
+def first_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """The first hundred pages of the manifest, by document, page and id."""
+    rows = table(spark, folder, "samples").select("document_id", "page", "id").distinct()
+    return resume.first_rows(rows, 100, [F.col("document_id").asc_nulls_last(), F.col("page").asc_nulls_last(), F.col("id").asc()])
+
+
+def nested_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines, sources and crops in all page records, summed over nested sizes."""
+    rows = table(spark, folder, "ocr_lines").select(F.coalesce("lines", F.expr("array()").cast(table(spark, folder, "ocr_lines").schema["lines"].dataType)).alias("l"))
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("bigint")
+    inner = lambda f: F.aggregate("l", F.lit(0).cast("bigint"), lambda a, x: a + size(x[f]))
+    return rows.agg(F.sum(F.size("l").cast("bigint")).alias("lines"), F.sum(inner("sources")).alias("sources"), F.sum(inner("crops")).alias("crops"))
+
+
+def set_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """One fingerprint of the pages of each role, whatever order and repeats they come in."""
+    rows = table(spark, folder, "samples").select("split", "id").filter("split is not null and id is not null")
+    return resume.set_fingerprint(rows, ["split"], F.col("id"))
+
+
 _LINES = """lines AS (
   SELECT id, l.line_id AS line_id, l."order" AS ord, l.column_no AS column_no, l.box AS box, l.text AS text, l.raw_text AS raw_text, l.status AS status
   FROM (SELECT id, unnest(lines) AS l FROM (
@@ -141,7 +161,11 @@ SQL = {
     + " UNION ALL " + _ROWS.format(rank=40, rule="held_out", where="document_id IN ('0','4','14') AND split IN ('train','validation')")
     + " UNION ALL SELECT 50, 'document_in_one_split', document_id FROM samples WHERE document_id IS NOT NULL GROUP BY document_id HAVING min(split) < max(split)"
     + " UNION ALL " + _ROWS.format(rank=60, rule="domain:stage2_split", where="stage2_split NOT IN ('train','validation','evaluation','unassigned')")
+    + " UNION ALL SELECT 70, 'one_run', min(deblur_run) || ',' || max(deblur_run) FROM samples HAVING min(deblur_run) < max(deblur_run)"
     + ") GROUP BY rank, rule",
+    "first_samples": "SELECT document_id, page, id FROM (SELECT DISTINCT document_id, page, id FROM samples) ORDER BY document_id NULLS LAST, page NULLS LAST, id LIMIT 100",
+    "nested_totals": "SELECT sum(len(lines))::BIGINT AS lines, sum(list_sum(list_transform(lines, lambda x: coalesce(len(x.sources), 0))))::BIGINT AS sources, sum(list_sum(list_transform(lines, lambda x: coalesce(cardinality(x.crops), 0)::BIGINT)))::BIGINT AS crops FROM ocr_lines",
+    "set_fingerprints": "SELECT split, count(*) AS members, sha256(sum(('0x' || left(sha256(id), 15))::BIGINT)::VARCHAR || ':' || count(*)) AS fingerprint FROM (SELECT DISTINCT split, id FROM samples WHERE split IS NOT NULL AND id IS NOT NULL) GROUP BY split",
     "doc_split_fd": "SELECT 50 AS rank, 'document_in_one_split' AS rule, document_id AS key, min(split) || ',' || max(split) AS detail FROM samples WHERE document_id IS NOT NULL GROUP BY document_id HAVING min(split) < max(split)",
     "hash_reused": "SELECT 70 AS rank, 'content_in_one_role' AS rule, out_sha256 AS key, min(id) || ',' || max(id) AS detail FROM samples WHERE out_sha256 IS NOT NULL GROUP BY out_sha256 HAVING min(id) < max(id)",
     "missing_labels": "SELECT coalesce(a.id, b.id) AS key, CASE WHEN a.id IS NULL THEN 'right_only' ELSE 'left_only' END AS detail FROM (SELECT DISTINCT id FROM samples) a FULL JOIN (SELECT DISTINCT id FROM labels) b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL",
@@ -166,4 +190,5 @@ SQL = {
 ALL = (
     latest_attempt, reusable_ok, pending_jobs, finished_jobs, dup_violations, manifest_violations, doc_split_fd, hash_reused, missing_labels, completeness_outer,
     final_block_split, split_summary, role_pages, role_overlap, unlabelled_pages, context_window, page_text, status_rollup, status_counts, fingerprint_rows,
+    first_samples, nested_totals, set_fingerprints,
 )

@@ -106,10 +106,35 @@ def lexicon_topk(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.lexicon_lookup(unknown, lexicon)
 
 
+def lexicon_near(spark: SparkSession, folder: str) -> DataFrame:
+    """How many lexicon words are within three edits of each word of the page lines."""
+    lexicon = table(spark, folder, "lexicon").select("word", F.col("n_seen").alias("count"))
+    words = _lines(spark, folder).filter("text is not null").select(F.explode(F.split("text", " ")).alias("t")).select(F.lower("t").alias("word")).filter("word <> ''").distinct()
+    return spelling.near_terms(words, lexicon).groupBy("word").agg(F.count(F.lit(1)).alias("terms"))
+
+
 _T1 = "replace(replace(replace(replace(replace(replace(translate(word, '‘’‚‛“”„‟‐‑‒–—−' || chr(173) || chr(160), repeat(chr(39), 4) || repeat(chr(34), 4) || '------- '), '…', '...'), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl')"
 _PAIRS = "(VALUES ('rn','m'),('m','rn'),('cl','d'),('d','cl'),('vv','w'),('w','vv'),('1','l'),('l','1'),('1','I'),('I','1'),('0','O'),('O','0')) AS c(a, b)"
 
+_BREAK = "chr(10)"
+_STEPS = "length({x}) + len(list_filter(range(1, length({x})), lambda i: {x}[i] = {x}[i + 1]))"
+
 SQL = {
+    "phrase_pack": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+        w AS (SELECT doc_id, n, unnest(regexp_extract_all(line, '[^ \\t\\n\\x0b\\f\\r]+')) AS word, generate_subscripts(regexp_extract_all(line, '[^ \\t\\n\\x0b\\f\\r]+'), 1) AS k FROM l),
+        p AS (SELECT doc_id, n, k, {_T1} AS x FROM w),
+        g AS (SELECT doc_id, n, list(CASE WHEN regexp_full_match(x, '[\\x20-\\x7E]+') AND {_STEPS.format(x="x")} <= 40 THEN x ELSE chr(1) END ORDER BY k) AS ws FROM p GROUP BY doc_id, n),
+        f AS (SELECT doc_id, list_reduce(list_prepend('', ws), lambda acc, x: CASE WHEN x = chr(1) THEN acc || {_BREAK} WHEN split_part(acc, {_BREAK}, -1) = '' THEN acc || x
+            WHEN length(split_part(acc, {_BREAK}, -1) || ' ' || x) <= 32 AND {_STEPS.format(x="(split_part(acc, chr(10), -1) || ' ' || x)")} <= 40 THEN acc || ' ' || x ELSE acc || {_BREAK} || x END) AS out FROM g),
+        s AS (SELECT doc_id, unnest(list_filter(string_split(out, {_BREAK}), lambda s: s <> '')) AS x FROM f)
+        SELECT doc_id, count(*) AS phrases, max(length(x)) AS longest, sum({_STEPS.format(x="x")})::BIGINT AS steps FROM s GROUP BY doc_id""",
+    "repeat_tail": """WITH d AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \\n]+'), lambda w: w <> '') AS w FROM documents),
+        b AS (SELECT doc_id, w, false AS repeated FROM d UNION ALL SELECT doc_id, list_concat(list_concat(w, w), list_concat(w, w)), true FROM d WHERE len(w) BETWEEN 12 AND 100)
+        SELECT doc_id, repeated FROM b WHERE len(list_filter(range(12, least(128, len(w) // 4) + 1), lambda p: w[len(w) - p + 1:len(w)] = w[len(w) - 2 * p + 1:len(w) - p]
+            AND w[len(w) - p + 1:len(w)] = w[len(w) - 3 * p + 1:len(w) - 2 * p] AND w[len(w) - p + 1:len(w)] = w[len(w) - 4 * p + 1:len(w) - 3 * p])) > 0""",
+    "weighted_edit": f"""SELECT DISTINCT word, left(word, i - 1) || b || substr(word, i + length(a)) AS variant, 0.35::DOUBLE AS cost FROM (SELECT word, a, b, unnest(range(1, length(word) + 1)) AS i FROM lexicon, {_PAIRS}) WHERE substr(word, i, length(a)) = a AND regexp_matches(word, '[A-Za-z]')""",
+    "lexicon_near": f"""WITH {_LINES}, w AS (SELECT DISTINCT lower(t) AS word FROM (SELECT unnest(string_split(text, ' ')) AS t FROM lines WHERE text IS NOT NULL) WHERE t <> '')
+        SELECT w.word, count(*) AS terms FROM w JOIN lexicon l ON w.word <> lower(l.word) AND levenshtein(w.word, lower(l.word)) <= 3 GROUP BY w.word""",
     "phrase_audit": f"""WITH w AS (SELECT unnest(regexp_extract_all(text, '[^ \\t\\n\\x0b\\f\\r]+')) AS word FROM documents), p AS (SELECT word, {_T1} AS plain FROM w)
         SELECT CASE WHEN NOT regexp_full_match(plain, '[\\x20-\\x7E]+') THEN 'unsupported_character'
           WHEN length(plain) + len(list_filter(range(1, length(plain)), lambda i: plain[i] = plain[i + 1])) > 40 THEN 'word_exceeds_ctc_capacity'
@@ -135,5 +160,5 @@ SQL = {
 
 ALL = (
     phrase_audit, phrase_pack, alphabet_gate, word_steps, review_flags, safe_filename, page_number, repeat_tail, strict_props, word_split, word_merge,
-    confusion_variants, case_like, weighted_edit, lexicon_topk,
+    confusion_variants, case_like, weighted_edit, lexicon_topk, lexicon_near,
 )

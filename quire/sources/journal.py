@@ -5,13 +5,16 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions.text import is_blank
+from quire.operators.resume import set_fingerprint
+from quire.operators.validate import enforce, evidence_violations
 from quire.session import delete_path
 
 # ---------------------------------------------------------------- readers
@@ -107,13 +110,27 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
 # ---------------------------------------------------------------- writers
 
 
+def _endless(col: Column, dtype: T.DataType) -> Column | None:
+    """Whether a value holds a NaN or an infinity anywhere; None for types that can't."""
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return F.isnan(col) | (F.abs(col) == float("inf"))
+    if isinstance(dtype, T.ArrayType):
+        return F.exists(col, lambda x: F.coalesce(_endless(x, dtype.elementType), F.lit(False))) if _endless(col, dtype.elementType) is not None else None
+    if isinstance(dtype, T.MapType):
+        return F.exists(F.map_values(col), lambda x: F.coalesce(_endless(x, dtype.valueType), F.lit(False))) if _endless(col, dtype.valueType) is not None else None
+    if isinstance(dtype, T.StructType):
+        inner = [e for f in dtype if (e := _endless(col.getField(f.name), f.dataType)) is not None]
+        return reduce(lambda a, b: a | b, [F.coalesce(e, F.lit(False)) for e in inner]) if inner else None
+    return None
+
+
 def _refuse_non_finite(df: DataFrame) -> DataFrame:
-    """Raise where a number is NaN or infinite, while the rows are written."""
+    """Raise where a number is NaN or infinite, however deep, while the rows are written."""
     out = df
     for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.col(f"`{f.name}`")
-            bad = F.isnan(c) | (F.abs(c) == float("inf"))
+        c = F.col(f"`{f.name}`")
+        bad = _endless(c, f.dataType)
+        if bad is not None:
             out = out.withColumn(f.name, F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit(f"{f.name}: numbers must be finite")).cast(f.dataType)).otherwise(c))
     return out
 
@@ -160,3 +177,42 @@ def guarded_output(spark: SparkSession, path: str, fingerprint: str) -> str:
 def write_markdown(sections: DataFrame, path: str) -> None:
     """Sections (id, section) as text, in the order of their ids within each file."""
     sections.sortWithinPartitions("id").select("section").write.mode("overwrite").text(path)
+
+
+def write_labels(labels: DataFrame, path: str) -> None:
+    """(image, text) as `image<TAB>text` lines. Raises, while writing, on a blank text or on a
+    field with a tab or a line end."""
+    fine = ~is_blank(F.col("text")) & F.col("image").isNotNull() & ~F.concat("image", "text").rlike(r"[\t\r\n]")
+    line = F.concat_ws("\t", "image", "text")
+    labels.select(F.when(F.coalesce(fine, F.lit(False)), line).otherwise(F.raise_error(F.concat(F.lit("no label: "), F.coalesce("image", F.lit("null"))))).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_report(spark: SparkSession, report: DataFrame, path: str) -> None:
+    """A small table of results as one JSON document of rows."""
+    write_snapshot(report.coalesce(1), path)
+
+
+def write_evidence(evidence: DataFrame, path: str) -> None:
+    """Character evidence (line_id, source, probs, alphabet, blank_id, excluded_mass) as a
+    table; raises on evidence that breaks a rule, and then leaves what was there."""
+    enforce(evidence_violations(evidence))
+    evidence.write.mode("overwrite").parquet(path)
+
+
+def read_evidence(spark: SparkSession, path: str) -> DataFrame:
+    """Evidence that was written before, checked again: files may have been changed."""
+    found = spark.read.parquet(path)
+    enforce(evidence_violations(found))
+    return found
+
+
+def model_stamp(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, modified) of a model's files, from their listing alone."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def adapter_signature(spark: SparkSession, path: str) -> str:
+    """One hash of the names and contents of an adapter's files."""
+    files = file_hashes(spark, path).select(F.lit(0).alias("k"), F.element_at(F.split("path", "/"), -1).alias("name"), "sha256")
+    row = set_fingerprint(files, ["k"], F.col("name"), F.col("sha256")).first()
+    return row["fingerprint"] if row else ""
