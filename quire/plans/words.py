@@ -113,13 +113,64 @@ def lexicon_near(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.near_terms(words, lexicon).groupBy("word").agg(F.count(F.lit(1)).alias("terms"))
 
 
+def _page_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Page lines as words with boxes: the box of a line shared out by characters, all pages with
+    one stamp in the corner and a crop that leaves a margin. Some lines are marked."""
+    lines = _lines(spark, folder).filter((F.size("box") == 4) & (F.coalesce("text", "raw_text") != ""))
+    b = [F.get("box", F.lit(i)).cast("double") for i in range(4)]
+    said = F.when(F.col("line_id").endswith("7"), F.concat(F.lit("Downloaded by "), F.coalesce("text", "raw_text"))).otherwise(F.coalesce("text", "raw_text"))
+    rows = lines.select("id", "ord", said.alias("t"), *[x.alias(n) for x, n in zip(b, ("a", "y0", "z", "y1"))]).select("*", F.posexplode(F.split("t", " ")).alias("word_no", "text"))
+    at = F.coalesce(F.length(F.array_join(F.slice(F.split("t", " "), F.lit(1), F.col("word_no")), " ")) + (F.col("word_no") > 0).cast("int"), F.lit(0))
+    unit = (F.col("z") - F.col("a")) / F.length("t")
+    return rows.select(
+        F.split_part("id", F.lit("_"), F.lit(1)).alias("document_number"), F.split_part("id", F.lit("_"), F.lit(2)).alias("web_page"), F.lit(0).alias("block"), F.col("ord").alias("line"), "word_no", "text",
+        (F.col("a") + at * unit).alias("x0"), "y0", (F.col("a") + (at + F.length("text")) * unit).alias("x1"), "y1",
+    )
+
+
+def _references(words: DataFrame) -> DataFrame:
+    box = lambda *v: F.struct(*[F.lit(float(x)).alias(n) for x, n in zip(v, ("x0", "y0", "x1", "y1"))])
+    return words.select("document_number", "web_page").distinct().select("*", F.lit(768.0).alias("pdf_height"), F.array(box(300, 568, 512, 768)).alias("stamps"), box(20, 0, 450, 768).alias("crop"))
+
+
+def page_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of each document by what is said of them."""
+    words = _page_words(spark, folder)
+    return phrases.word_audit(phrases.page_words(words, _references(words))).groupBy("document_number", "reason").agg(F.count(F.lit(1)).alias("words"))
+
+
+def page_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    words = _page_words(spark, folder)
+    found = phrases.supervised_phrases(phrases.page_words(words, _references(words)))
+    return found.select("document_number", "web_page", "phrase_no", "text", F.transform("box", lambda v: F.round(v, 4)).alias("box"), "n_words")
+
+
+def phrase_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that phrases of each document hold: all that nothing is said against."""
+    return page_phrases(spark, folder).groupBy("document_number").agg(F.sum("n_words").alias("words"), (F.max(F.length("text")) <= 40).alias("within"))
+
+
 _T1 = "replace(replace(replace(replace(replace(replace(translate(word, '‘’‚‛“”„‟‐‑‒–—−' || chr(173) || chr(160), repeat(chr(39), 4) || repeat(chr(34), 4) || '------- '), '…', '...'), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl')"
 _PAIRS = "(VALUES ('rn','m'),('m','rn'),('cl','d'),('d','cl'),('vv','w'),('w','vv'),('1','l'),('l','1'),('1','I'),('I','1'),('0','O'),('O','0')) AS c(a, b)"
 
 _BREAK = "chr(10)"
 _STEPS = "length({x}) + len(list_filter(range(1, length({x})), lambda i: {x}[i] = {x}[i + 1]))"
 
+_PAGE_WORDS = f"""WITH {_LINES}, t AS (SELECT id, line_id, ord, box, CASE WHEN ends_with(line_id, '7') THEN 'Downloaded by ' || coalesce(text, raw_text) ELSE coalesce(text, raw_text) END AS t
+          FROM lines WHERE len(box) = 4 AND coalesce(text, raw_text) <> ''),
+        s AS (SELECT *, string_split(t, ' ') AS ws, (box[3] - box[1])::DOUBLE / length(t) AS unit FROM t),
+        w AS (SELECT *, ws[k] AS word, CASE WHEN k > 1 THEN length(array_to_string(ws[1:k - 1], ' ')) + 1 ELSE 0 END AS pos FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS k FROM s)),
+        p AS (SELECT split_part(id, '_', 1) AS document_number, t, word, {_T1} AS plain, box[1] + pos * unit AS x0, box[1] + (pos + length(word)) * unit AS x1, box[2]::DOUBLE AS y0, box[4]::DOUBLE AS y1 FROM w),
+        r AS (SELECT document_number, CASE WHEN contains(lower(t), 'downloaded by') OR contains(lower(t), 'document shared on') THEN 'watermark_line'
+          WHEN (x0 + x1) / 2 BETWEEN 300 AND 512 AND 768 - (y0 + y1) / 2 BETWEEN 568 AND 768 THEN 'watermark_geometry'
+          WHEN NOT regexp_full_match(plain, '[\\x20-\\x7E]+') THEN 'unsupported_character'
+          WHEN NOT (x0 >= 20 AND y0 >= 0 AND x1 <= 450 AND y1 <= 768) THEN 'outside_or_partial_word'
+          WHEN {_STEPS.format(x="plain")} > 40 THEN 'word_exceeds_ctc_capacity'
+          WHEN plain <> word THEN 'normalized_punctuation_or_ligature' END AS reason FROM p)"""
+
 SQL = {
+    "page_audit": f"{_PAGE_WORDS} SELECT document_number, reason, count(*) AS words FROM r WHERE reason IS NOT NULL GROUP BY document_number, reason",
+    "phrase_words": f"{_PAGE_WORDS} SELECT document_number, count(*) AS words, true AS within FROM r WHERE coalesce(reason, 'normalized_punctuation_or_ligature') = 'normalized_punctuation_or_ligature' GROUP BY document_number",
     "phrase_pack": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
         w AS (SELECT doc_id, n, unnest(regexp_extract_all(line, '[^ \\t\\n\\x0b\\f\\r]+')) AS word, generate_subscripts(regexp_extract_all(line, '[^ \\t\\n\\x0b\\f\\r]+'), 1) AS k FROM l),
         p AS (SELECT doc_id, n, k, {_T1} AS x FROM w),
@@ -160,5 +211,5 @@ SQL = {
 
 ALL = (
     phrase_audit, phrase_pack, alphabet_gate, word_steps, review_flags, safe_filename, page_number, repeat_tail, strict_props, word_split, word_merge,
-    confusion_variants, case_like, weighted_edit, lexicon_topk, lexicon_near,
+    confusion_variants, case_like, weighted_edit, lexicon_topk, lexicon_near, page_audit, page_phrases, phrase_words,
 )
