@@ -62,3 +62,42 @@ def test_stream_keeps_latest(spark, tmp_path):
     keep_latest(journal_stream(spark, src, schema.schema), ["id"], ["at"], store, check).awaitTermination()
     assert sorted(tuple(r) for r in latest_version(spark, store).select("id", "at").collect()) == [("a", 2), ("b", 1)]
     assert F is not None
+
+
+def test_no_endless_number_is_written_however_deep(spark, tmp_path):
+    bad = {
+        "a array<double>": ([1.0, float("inf")],), "m map<string,struct<x:array<float>>>": ({"k": ([float("nan")],)},), "s struct<d:double,t:string>": ((float("-inf"), "x"),),
+    }
+    for i, (kind, row) in enumerate(bad.items()):
+        with pytest.raises(Exception, match="finite"):
+            journal.write_snapshot(spark.createDataFrame([row], kind), f"file://{tmp_path}/n{i}")
+    fine = spark.createDataFrame([([1.0, None], None, (None, "x"))], "a array<double>, m map<string,double>, s struct<d:double,t:string>")
+    journal.write_snapshot(fine, f"file://{tmp_path}/fine")
+    assert spark.read.json(f"file://{tmp_path}/fine").count() == 1
+
+
+def test_labels_and_evidence_round_trip(spark, tmp_path):
+    labels = spark.createDataFrame([("a.png", 'say "hi"'), ("b.png", "two words")], "image string, text string")
+    journal.write_labels(labels, f"file://{tmp_path}/labels")
+    assert sorted(map(tuple, journal.read_labels(spark, f"file://{tmp_path}/labels").select("image", "text").collect())) == sorted(map(tuple, labels.collect()))
+    for row in (("a", "x\ty"), ("a", " "), (None, "x"), ("a", None)):
+        with pytest.raises(Exception, match="no label"):
+            journal.write_labels(spark.createDataFrame([row], "image string, text string"), f"file://{tmp_path}/bad")
+    kind = "line_id string, source string, probs array<array<double>>, alphabet array<string>, blank_id int, excluded_mass array<double>"
+    good = [("l", "rec:out", [[0.5, 0.5], [0.9, 0.1]], ["", "a"], 0, [0.0, 0.0])]
+    journal.write_evidence(spark.createDataFrame(good, kind), f"file://{tmp_path}/evidence")
+    with pytest.raises(ValueError, match="range"):
+        journal.write_evidence(spark.createDataFrame([("l", "s", [[1.5, -0.5]], ["", "a"], 0, None)], kind), f"file://{tmp_path}/evidence")
+    assert journal.read_evidence(spark, f"file://{tmp_path}/evidence").count() == 1
+
+
+def test_model_files(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.bin").write_bytes(b"1")
+    (tmp_path / "m" / "b.bin").write_bytes(b"22")
+    stamp = journal.model_stamp(spark, f"file://{tmp_path}/m").collect()
+    assert sorted(r["length"] for r in stamp) == [1, 2]
+    before = journal.adapter_signature(spark, f"file://{tmp_path}/m")
+    assert before == journal.adapter_signature(spark, f"file://{tmp_path}/m")
+    (tmp_path / "m" / "b.bin").write_bytes(b"23")
+    assert journal.adapter_signature(spark, f"file://{tmp_path}/m") != before

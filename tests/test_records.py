@@ -71,3 +71,42 @@ def test_assembly(spark):
     assert near[("p", 0)] == [] and near[("q", 0)] == []
     lifted = assemble.status_rollup(df.filter("id='p' and s='ok'"), ["id"], "s", F.bool_or(F.lit(True))).first()["status"]
     assert lifted == "review"
+
+
+def test_limits_fingerprints_and_runs(spark):
+    from pyspark.sql import functions as F
+
+    from quire.operators import resume, validate
+
+    df = spark.createDataFrame([("b", 1), ("a", 2), ("a", 1), (None, 3)], "k string, n int")
+    assert [tuple(r) for r in resume.first_rows(df, 2, [F.col("k").asc_nulls_last(), F.col("n")]).collect()] == [("a", 1), ("a", 2)]
+    for bad in (0, -1, True, 1.0):
+        try:
+            resume.first_rows(df, bad, [F.col("n")])
+        except ValueError:
+            continue
+        raise AssertionError(bad)
+    prints = {r["k"]: (r["members"], r["fingerprint"]) for r in resume.set_fingerprint(df.union(df), ["k"], F.col("n")).collect()}
+    assert prints == {r["k"]: (r["members"], r["fingerprint"]) for r in resume.set_fingerprint(df.orderBy("n"), ["k"], F.col("n")).collect()}
+    assert prints["a"][0] == 2 and len({v for _, v in prints.values()}) == 3
+    keys = df.select(resume.line_key(*[F.col("k")] * 9).alias("a"), resume.block_key(*[F.col("n")] * 5).alias("b")).distinct().collect()
+    assert len(keys) == 4 and all(len(r["a"]) == len(r["b"]) == 64 for r in keys)
+    kind = "id string, document_id string, deblur_run string, split string, stage2_split string, out string"
+    two_runs = spark.createDataFrame([("1", "9", "r1", "train", None, "o"), ("2", "8", "r2", "test", "odd", " ")], kind)
+    found = {(r["rank"], r["rule"]) for r in validate.manifest_violations(two_runs, ["out"]).collect()}
+    assert found == {(10, "required:out"), (60, "domain:stage2_split"), (70, "one_run")}
+
+
+def test_names_with_control_characters(spark):
+    import hashlib
+    import json
+
+    from pyspark.sql import functions as F
+
+    from quire.functions import names
+
+    ids = ["a\tb", 'q"\\\n', "\x01\x1f", "CON", "fine-1"]
+    got = {r["n"]: r["f"] for r in spark.createDataFrame([(i,) for i in ids], "n string").select("n", names.safe_filename(F.col("n")).alias("f")).collect()}
+    for i in ids[:-1]:
+        assert got[i] == "sample-" + hashlib.sha256(json.dumps(i).encode()).hexdigest()[:16]
+    assert got["fine-1"] == "fine-1"

@@ -148,3 +148,23 @@ def test_near_terms_with_confusions_miss_nothing_within_the_cost(spark):
     found = {(r["word"], r["term"]) for r in spelling.near_terms(spark.createDataFrame([(w,) for w in words] + [(None,)], "word string"), lexicon, confusions=True).collect()}
     want = {(w, t) for w in words for t in terms if w != t and (unit_edits(w, t) <= 3 or spelling.edit_cost(w, t) <= 3)}
     assert found == want and ("rnornent", "moment") in found
+
+
+def test_phrases_with_places(spark):
+    rng = random.Random(3)
+    for _ in range(200):
+        words = ["".join(rng.choices("ab", k=rng.randint(1, 12))) if rng.random() > 0.1 else None for _ in range(rng.randint(0, 20))]
+        got = phrases.pack_places(words)
+        assert all(text == " ".join(words[a : b + 1]) for text, a, b in got)
+        assert [i for _, a, b in got for i in range(a, b + 1)] == [i for i, w in enumerate(words) if w is not None]
+    kind = "document_number int, web_page string, block int, line int, word_no int, text string, x0 double, y0 double, x1 double, y1 double"
+    w = lambda line, no, text, x: (4, "1", 0, line, no, text, x, 10.0 * line, x + 9.0, 10.0 * line + 8)
+    rows = [w(1, 1, "two", 10.0), w(1, 0, "one", 0.0), w(1, 2, "一", 20.0), w(1, 3, "“x”", 30.0), w(2, 0, "Downloaded", 0.0), w(2, 1, "by me", 10.0), w(3, 0, "far", 95.0), w(4, 0, "stamped", 50.0), w(5, 0, None, 0.0), w(6, 0, "z" * 21, 0.0)]
+    rows.append((14, "1", 0, 1, 0, "other", 0.0, 0.0, 1.0, 1.0))
+    refs = spark.createDataFrame([("4", "1", 100.0, [(45.0, 50.0, 60.0, 60.0)], (0.0, 0.0, 100.0, 100.0))], "document_number string, web_page string, pdf_height double, stamps array<struct<x0:double,y0:double,x1:double,y1:double>>, crop struct<x0:double,y0:double,x1:double,y1:double>")
+    page = phrases.page_words(spark.createDataFrame(rows, kind), refs)
+    reasons = {(r["line"], r["word_no"]): r["reason"] for r in page.collect()}
+    assert reasons == {(1, 0): None, (1, 1): None, (1, 2): "unsupported_character", (1, 3): None, (2, 0): "watermark_line", (2, 1): "watermark_line", (3, 0): "outside_or_partial_word", (4, 0): "watermark_geometry", (5, 0): "unsupported_character", (6, 0): "word_exceeds_ctc_capacity"}
+    got = [tuple(r) for r in phrases.supervised_phrases(page).orderBy("phrase_no").collect()]
+    assert got == [("4", "1", 0, "one two", [0.0, 10.0, 19.0, 18.0], 2), ("4", "1", 1, '"x"', [30.0, 10.0, 39.0, 18.0], 1)]
+    assert {r["reason"] for r in phrases.word_audit(page).collect()} >= {"normalized_punctuation_or_ligature", "watermark_line"}
