@@ -155,13 +155,15 @@ def near_terms(words: DataFrame, lexicon: DataFrame, max_edit: int = 3, confusio
     pairs = met(_deletion_keys(start("word"), max_edit), max_edit).filter(~far).distinct()
     if confusions and max_edit > 0:
         more = met(_confused_keys(F.lower("word"), F.lit(float(max_edit))), max_edit - 1).filter(far).distinct()
-        pairs = pairs.union(more.repartition(tasks).filter(weighted_edit(F.lower("word"), F.col("term")) <= max_edit))
+        pairs = pairs.union(more.repartition(tasks).filter(weighted_edit(F.lower("word"), F.lower("term")) <= max_edit))
     return pairs
 
 
 def lexicon_lookup(words: DataFrame, lexicon: DataFrame, limit: int = 8, max_edit: int = 3, confusions: bool = False) -> DataFrame:
     """(word, term, cost, rank): up to `limit` of the near_terms of each distinct word,
-    cheapest first, then by count, then by the term."""
-    pairs = near_terms(words, lexicon, max_edit, confusions).withColumn("cost", weighted_edit(F.lower("word") if confusions else F.col("word"), F.col("term")))
+    cheapest first, then by count, then by the term. With `confusions` letter case costs
+    nothing."""
+    cost = weighted_edit(F.lower("word"), F.lower("term")) if confusions else weighted_edit(F.col("word"), F.col("term"))
+    pairs = near_terms(words, lexicon, max_edit, confusions).withColumn("cost", cost)
     rank = F.row_number().over(Window.partitionBy("word").orderBy("cost", F.desc("count"), "term"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= limit).select("word", "term", "cost", "rank")
