@@ -76,8 +76,8 @@ def split_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def role_pages(spark: SparkSession, folder: str) -> DataFrame:
-    crops = table(spark, folder, "prepare_ocr")
-    return crops.groupBy(F.col("stage2_split").alias("role")).agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("page_ids"))
+    """The pages of each role, a row each, as a role may hold any number of them."""
+    return table(spark, folder, "prepare_ocr").select(F.col("stage2_split").alias("role"), F.col("id").alias("page_id")).distinct()
 
 
 def role_overlap(spark: SparkSession, folder: str) -> DataFrame:
@@ -176,7 +176,7 @@ SQL = {
     "split_summary": """SELECT stage2_split AS role, count(*) AS crops, count(DISTINCT id) AS pages, max(length(text))::BIGINT AS longest,
         max(CASE WHEN len(box) = 4 AND box[1] < box[3] AND box[2] < box[4] THEN ceil((box[3] - box[1])::DOUBLE * 48 / (box[4] - box[2])) END)::BIGINT AS widest
         FROM (SELECT DISTINCT * FROM prepare_ocr) GROUP BY stage2_split""",
-    "role_pages": "SELECT stage2_split AS role, coalesce(string_agg(DISTINCT id, ',' ORDER BY id), '') AS page_ids FROM prepare_ocr GROUP BY stage2_split",
+    "role_pages": "SELECT DISTINCT stage2_split AS role, id AS page_id FROM prepare_ocr",
     "role_overlap": "SELECT document_id FROM samples WHERE split = 'train' INTERSECT SELECT document_id FROM samples WHERE split <> 'train'",
     "unlabelled_pages": "SELECT id FROM samples EXCEPT SELECT id FROM labels",
     "context_window": f"""WITH {_LINES}, w AS (SELECT line_id, ord, column_no, list(struct_pack(o := ord, c := column_no, t := coalesce(text, raw_text))) OVER (PARTITION BY id ORDER BY ord ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS f FROM lines)
