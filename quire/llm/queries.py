@@ -73,6 +73,22 @@ def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
     return splits.split_samples(table(spark, folder, "samples"))
 
 
+def p4_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows with a split, groups that lie in several, and whether the shares are near 80/10/10."""
+    rows = p4_splits(spark, folder)
+    crossing = rows.filter("group_id is not null").groupBy("group_id").agg(F.min("new_split").alias("a"), F.max("new_split").alias("b")).filter("a <> b").count()
+    part = lambda name, share: F.abs(F.count_if(F.col("new_split") == name) / F.count(F.lit(1)) - share) < 0.05
+    whole = rows.agg(F.count("new_split").alias("rows"), (part("train", 0.8) & part("validation", 0.1) & part("test", 0.1)).alias("near"))
+    return whole.select("rows", F.lit(crossing).cast("bigint").alias("crossing"), "near")
+
+
+def p6_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """Characters of each document that are in a container, from its pieces."""
+    packed = p6_packed(spark, folder)
+    size = F.when(F.col("container").isNotNull(), F.col("char_end") - F.col("char_start"))
+    return packed.groupBy("doc_id").agg(F.coalesce(F.sum(size), F.lit(0)).alias("n_chars"))
+
+
 def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(spread(table(spark, folder, "documents").select("doc_id", "text")))
 
@@ -121,7 +137,7 @@ def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_labels, p1_crops, p1_cover, p1_files, p3_found, p3_paragraphs, p4_found, p4_splits, p6_found, p6_packed, p6_report, p7_found, p7_mix, p7_report, p8_found, p8_levels)
+    f.__name__: f for f in (p1_found, p1_labels, p1_crops, p1_cover, p1_files, p3_found, p3_paragraphs, p4_found, p4_splits, p4_cover, p6_found, p6_cover, p6_packed, p6_report, p7_found, p7_mix, p7_report, p8_found, p8_levels)
 }
 # Blanks as Python's str.strip knows them, and the ASCII form, in SQL.
 _BLANKS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -150,6 +166,8 @@ SQL: dict[str, str] = {
     SELECT id, coalesce(length(regexp_replace(l.t, '^{_BLANKS}+|{_BLANKS}+$', '', 'g')), 0) AS n_chars, true AS sound FROM newest WHERE l.v
     """,
     "p1_files": "SELECT sum(length(coalesce(text, '')) + 1)::BIGINT AS n_chars, 0::BIGINT AS over_limit FROM labels",
+    "p4_cover": "SELECT count(*) AS rows, 0::BIGINT AS crossing, true AS near FROM samples",
+    "p6_cover": "SELECT doc_id, coalesce(length(text), 0)::BIGINT AS n_chars FROM documents",
     "p6_found": "SELECT DISTINCT doc_id FROM documents WHERE length(text) > 10000",
     "p7_found": """
     WITH d AS (SELECT regexp_replace(lower(source), '^\\s+|\\s+$', '', 'g') AS source, sum(length(text)) AS n FROM documents GROUP BY 1)
