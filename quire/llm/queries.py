@@ -74,12 +74,12 @@ def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_cover(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows with a split, groups that lie in several, and whether the shares are near 80/10/10."""
+    """Rows of each old split that got a new one, and how many of them lie in a group of which
+    other rows got another."""
     rows = p4_splits(spark, folder)
-    crossing = rows.filter("group_id is not null").groupBy("group_id").agg(F.min("new_split").alias("a"), F.max("new_split").alias("b")).filter("a <> b").count()
-    part = lambda name, share: F.abs(F.count_if(F.col("new_split") == name) / F.count(F.lit(1)) - share) < 0.05
-    whole = rows.agg(F.count("new_split").alias("rows"), (part("train", 0.8) & part("validation", 0.1) & part("test", 0.1)).alias("near"))
-    return whole.select("rows", F.lit(crossing).cast("bigint").alias("crossing"), "near")
+    crossing = rows.filter("group_id is not null").groupBy("group_id").agg(F.min("new_split").alias("a"), F.max("new_split").alias("b")).filter("a <> b").select("group_id", F.lit(1).alias("_c"))
+    rows = rows.join(crossing, "group_id", "left")
+    return rows.groupBy("old_split").agg(F.count("new_split").alias("rows"), F.count("_c").alias("crossing"))
 
 
 def p6_cover(spark: SparkSession, folder: str) -> DataFrame:
@@ -166,7 +166,7 @@ SQL: dict[str, str] = {
     SELECT id, coalesce(length(regexp_replace(l.t, '^{_BLANKS}+|{_BLANKS}+$', '', 'g')), 0) AS n_chars, true AS sound FROM newest WHERE l.v
     """,
     "p1_files": "SELECT sum(length(coalesce(text, '')) + 1)::BIGINT AS n_chars, 0::BIGINT AS over_limit FROM labels",
-    "p4_cover": "SELECT count(*) AS rows, 0::BIGINT AS crossing, true AS near FROM samples",
+    "p4_cover": "SELECT split AS old_split, count(*) AS rows, 0::BIGINT AS crossing FROM samples GROUP BY split",
     "p6_cover": "SELECT doc_id, coalesce(length(text), 0)::BIGINT AS n_chars FROM documents",
     "p6_found": "SELECT DISTINCT doc_id FROM documents WHERE length(text) > 10000",
     "p7_found": """
