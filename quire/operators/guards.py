@@ -117,11 +117,30 @@ def dataset_guards(crops: DataFrame, pages: DataFrame, adaptation: str = "4", st
     )
 
 
+def total_guards(crops: DataFrame, counts: dict[str, int], max_text_length: int, max_aspect_ratio: float) -> DataFrame:
+    """What a set's metadata say of it against its crops (role, text, width, height): crops of
+    each role, the longest text and the widest ratio."""
+    spark = crops.sparkSession
+    want = spark.createDataFrame([*counts.items()] or [(None, None)], "role string, n long").filter("role is not null")
+    have = crops.groupBy("role").agg(F.count(F.lit(1)).alias("_n"))
+    sides = want.join(have, "role", "full")
+    span = crops.agg(F.coalesce(F.max(F.length("text")), F.lit(0)).alias("_long"), F.coalesce(F.max(F.col("width") / F.col("height")), F.lit(0.0)).alias("_wide"))
+    return union_all(
+        [
+            violations(sides, 90, "count", F.coalesce("n", F.lit(0)) != F.coalesce("_n", F.lit(0)), F.col("role"), F.concat_ws(" for ", F.coalesce("_n", F.lit(0)).cast("string"), F.coalesce("n", F.lit(0)).cast("string"))),
+            violations(span, 91, "max_text_length", F.col("_long") != max_text_length, F.col("_long")),
+            violations(span, 92, "max_aspect_ratio", F.abs(F.col("_wide") - F.lit(float(max_aspect_ratio))) > 1e-9, F.col("_wide")),
+        ]
+    )
+
+
 def training_guards(rows: DataFrame, template: str, splits: tuple[str, ...] = ("train", "validation"), held_out: tuple[str, ...] = ("0", "4", "14")) -> DataFrame:
     """Rules of training examples (id, document_id, deblur_run, split, image array<string>,
     conversations array<struct<from, value>>): an allowed split, a run, two absolute
     pictures, a prompt and its answer, the prompt by the template, an answer that isn't
-    blank; no document in two splits."""
+    blank; no document in two splits. Where the rows have `prompt`, the whole turn made of the
+    template and the two readings, it must be that; where they have source_hashes and
+    known_hashes (maps by view), these must agree."""
     key = F.col("id")
     turn = lambda i, f: F.get("conversations", F.lit(i)).getField(f)
     return union_all(
@@ -133,6 +152,8 @@ def training_guards(rows: DataFrame, template: str, splits: tuple[str, ...] = ("
             violations(rows, 50, "images", ~F.coalesce((F.size("image") == 2) & F.forall("image", lambda p: p.startswith("/")), F.lit(False)), key),
             violations(rows, 60, "turns", ~F.coalesce((F.size("conversations") == 2) & (turn(0, "from") == "human") & (turn(1, "from") == "gpt"), F.lit(False)), key),
             violations(rows, 70, "prompt", ~F.coalesce(turn(0, "value").startswith(template), F.lit(False)), key),
+            *([violations(rows, 71, "whole_prompt", ~turn(0, "value").eqNullSafe(F.col("prompt")), key)] if "prompt" in rows.columns else []),
+            *([violations(rows, 75, "sources", ~F.array_sort(F.map_entries("source_hashes")).eqNullSafe(F.array_sort(F.map_entries("known_hashes"))), key)] if {"source_hashes", "known_hashes"} <= set(rows.columns) else []),
             violations(rows, 80, "answer", is_blank(turn(1, "value")), key),
             determines(rows, 90, "document_in_one_split", "document_id", "split"),
         ]

@@ -123,6 +123,31 @@ def label_line_violations(lines: DataFrame, steps: int = 40) -> DataFrame:
     return union_all([*parts, duplicates(crop, 60, "unique:crop", ["id", "crop"])])
 
 
+LABEL_STATES = ("geometry_checked", "human_checked")
+
+
+def label_page_violations(labels: DataFrame, samples: DataFrame, adaptation: str = "4", steps: int = 40) -> DataFrame:
+    """Rules for labelled pages (id, out_sha256, page_size, label_status, provenance struct of
+    method and source_sha256, lines array of struct box, text, complete) against their
+    samples (id, document_id, out_sha256, page_size): a known page of the adaptation
+    document, the same picture and size, a checked state, a named method with a hash, some
+    lines, and the rules for lines (label_line_violations)."""
+    page = samples.select("id", F.col("document_id").alias("_document"), F.col("out_sha256").alias("_sha"), F.col("page_size").alias("_size"), F.lit(True).alias("_known")).dropDuplicates(["id"])
+    rows = labels.join(page, "id", "left")
+    known = F.coalesce("_known", F.lit(False))
+    rules = [
+        (1, "unknown_page", ~known, None),
+        (2, "document", known & ~F.coalesce(F.col("_document") == adaptation, F.lit(False)), F.col("_document")),
+        (3, "picture", known & ~F.col("out_sha256").eqNullSafe(F.col("_sha")), F.col("out_sha256")),
+        (4, "page_size", known & ~F.col("page_size").eqNullSafe(F.col("_size")), None),
+        (5, "label_status", ~F.coalesce(F.col("label_status").isin(*LABEL_STATES), F.lit(False)), F.col("label_status")),
+        (6, "provenance", is_blank(F.col("provenance.method")) | ~F.coalesce(F.col("provenance.source_sha256").rlike(r"\A[0-9a-f]{64}\z"), F.lit(False)), F.col("provenance.method")),
+        (7, "lines", F.coalesce(F.size("lines"), F.lit(0)) <= 0, None),
+    ]
+    lines = labels.select("id", "page_size", F.explode("lines").alias("l")).select("id", "page_size", "l.box", "l.text", "l.complete")
+    return union_all([checked(rows, rules, F.col("id")), label_line_violations(lines, steps)])
+
+
 def evidence_violations(evidence: DataFrame) -> DataFrame:
     """Rules for character evidence (line_id, probs array<array<double>>, alphabet, blank_id,
     excluded_mass): rectangular, one empty blank, distinct single characters, values in

@@ -57,3 +57,35 @@ def test_rendering_and_masks(spark):
     masked = spark.createDataFrame([([5, 6, 7], 2)], "t array<int>, n int").select(g.supervised_mask(F.col("t"), F.col("n")).alias("m")).first()["m"]
     assert masked == [-100, -100, 7]
     assert g.stage_key({"a": 1}, {}, {}, {"id": "x"}) != g.stage_key({"a": 2}, {}, {}, {"id": "x"})
+
+
+def test_labelled_pages(spark):
+    from quire.operators import validate
+
+    samples = spark.createDataFrame([("4_1", "4", "h", [512, 768]), ("9_1", "9", "h", [512, 768])], "id string, document_id string, out_sha256 string, page_size array<int>")
+    good = [([1.0, 1.0, 50.0, 20.0], "a line", True)]
+    kind = "id string, out_sha256 string, page_size array<int>, label_status string, provenance struct<method:string,source_sha256:string>, lines array<struct<box:array<double>,text:string,complete:boolean>>"
+    rows = [
+        ("4_1", "h", [512, 768], "human_checked", ("pdf", "0" * 64), good), ("9_1", "x", [1, 2], "new", (" ", "zz"), []), ("7_1", "h", None, None, None, None),
+        ("4_1", "h", [512, 768], "geometry_checked", ("pdf", "a" * 64), [([1.0, 1.0, 50.0, 20.0], " a", None), ([1.0, 1.0, 900.0, 20.0], "b", True)]),
+    ]
+    df = spark.createDataFrame(rows, kind)
+    assert validate.label_page_violations(df.limit(1), samples).count() == 0
+    found = {(r["key"], r["rule"]) for r in validate.label_page_violations(df, samples).collect()}
+    assert {("9_1", r) for r in ("document", "picture", "page_size", "label_status", "provenance", "lines")} <= found
+    assert {("7_1", r) for r in ("unknown_page", "label_status", "provenance", "lines")} <= found and ("7_1", "picture") not in found
+    assert {("4_1", "complete"), ("4_1", "text"), ("4_1", "box")} <= found and not {("4_1", "picture"), ("4_1", "provenance")} & found
+
+
+def test_totals_and_sources(spark):
+    from quire.operators import guards
+
+    crops = spark.createDataFrame([("train", "abc", 40, 10), ("train", "abcd", 20, 10), ("validation", "x", 10, 10)], "role string, text string, width int, height int")
+    assert guards.total_guards(crops, {"train": 2, "validation": 1}, 4, 4.0).count() == 0
+    found = {r["rule"] for r in guards.total_guards(crops, {"train": 1, "evaluation": 3}, 5, 2.0).collect()}
+    assert found == {"count", "max_text_length", "max_aspect_ratio"} and guards.total_guards(crops.limit(0), {}, 0, 0.0).count() == 0
+    kind = "id string, document_id string, deblur_run string, split string, image array<string>, conversations array<struct<from:string,value:string>>, prompt string, source_hashes map<string,string>, known_hashes map<string,string>"
+    turns = [("human", "Read: a"), ("gpt", "a")]
+    rows = [("1", "9", "r", "train", ["/a", "/b"], turns, "Read: a", {"out": "1", "blur": "2"}, {"blur": "2", "out": "1"}), ("2", "8", "r", "train", ["/a", "/b"], turns, "Read: b", {"out": "1"}, None)]
+    got = {(r["key"], r["rule"]) for r in guards.training_guards(spark.createDataFrame(rows, kind), "Read").collect()}
+    assert got == {("2", "whole_prompt"), ("2", "sources")}
