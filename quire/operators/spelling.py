@@ -85,15 +85,6 @@ def word_merges(pairs: DataFrame, lexicon: DataFrame) -> DataFrame:
     return both.join(lexicon.select(F.lower("word").alias("merged")).distinct(), "merged", "left_semi")
 
 
-def _deletion_keys(word: Column, depth: int) -> Column:
-    """The word and all forms with up to `depth` characters left out."""
-    keys = F.array(word)
-    for _ in range(depth):
-        one = F.flatten(F.transform(keys, lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(k), F.lit(1))), lambda i: F.concat(F.substring(k, F.lit(1), i - 1), F.substring(k, i + 1, F.length(k))))))
-        keys = F.array_distinct(F.concat(keys, one))
-    return keys
-
-
 def left_out(start: str, depth: int) -> set[str]:
     """A string and all forms with up to `depth` characters left out."""
     out = layer = {start}
@@ -124,6 +115,11 @@ def meeting_keys(low: str, most: float, depth: int, confused: int = 0) -> set[st
     return keys
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _left_out(starts: pa.Array, depth: pa.Array) -> pa.Array:
+    return pa.array([None if s is None else sorted(left_out(s, d)) for s, d in zip(starts.to_pylist(), depth.to_pylist())], pa.list_(pa.string()))
+
+
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def _confused_keys(words: pa.Array, most: pa.Array) -> pa.Array:
     return pa.array([sorted(meeting_keys(w, m, int(m) - 1, 1)) for w, m in zip(words.to_pylist(), most.to_pylist())], pa.list_(pa.string()))
@@ -149,10 +145,10 @@ def near_terms(words: DataFrame, lexicon: DataFrame, max_edit: int = 3, confusio
     far = F.levenshtein(F.lower("word"), F.lower("term"), max_edit) < 0
 
     def met(keys: Column, depth: int) -> DataFrame:
-        kept = terms.withColumn("_key", F.explode(_deletion_keys(start("term"), depth)))
+        kept = terms.withColumn("_key", F.explode(_left_out(start("term"), F.lit(depth))))
         return asked.withColumn("_key", F.explode(keys)).join(kept, "_key").filter(F.lower("word") != F.lower("term")).drop("_key")
 
-    pairs = met(_deletion_keys(start("word"), max_edit), max_edit).filter(~far).distinct()
+    pairs = met(_left_out(start("word"), F.lit(max_edit)), max_edit).filter(~far).distinct()
     if confusions and max_edit > 0:
         more = met(_confused_keys(F.lower("word"), F.lit(float(max_edit))), max_edit - 1).filter(far).distinct()
         pairs = pairs.union(more.repartition(tasks).filter(weighted_edit(F.lower("word"), F.lower("term")) <= max_edit))
